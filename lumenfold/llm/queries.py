@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
 from .components import consolidate
+from .golden import golden_records
+from .history import dedup_inbox
 from .similar import most_similar, similar_pairs
 
 
@@ -19,7 +21,17 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"p1_found": p1_found, "p3_found": p3_found}
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return golden_records(
+        table(spark, sf_dir, "dedup_cluster"), table(spark, sf_dir, "membership"), table(spark, sf_dir, "asset")
+    )
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_inbox(table(spark, sf_dir, "asset"), table(spark, sf_dir, "asset_inbox"))
+
+
+QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p5_found": p5_found, "p6_found": p6_found}
 
 SQL: dict[str, str] = {
     "p3_found": """
@@ -40,6 +52,30 @@ SQL: dict[str, str] = {
         )
         SELECT asset_id, min(seen) AS group_id FROM reach GROUP BY asset_id
     """,
+    "p5_found": """
+        WITH m AS (
+            SELECT DISTINCT c.cluster_id, a.id, a.taken_at,
+                   coalesce(a.exif_fields, 0) AS e, coalesce(a.width::BIGINT * a.height, -1) AS p, coalesce(a.bytes, -1) AS b,
+                   (lower(a.format) IN ('raw','heic','heif','dng','arw','cr2','cr3','nef','orf','raf','rw2'))::INT AS f,
+                   CASE a.source WHEN 'originals' THEN 3 WHEN 'icloud' THEN 2 WHEN 'google' THEN 1 ELSE 0 END AS s,
+                   CASE a.taken_src WHEN 'exif' THEN 4 WHEN 'json' THEN 3 WHEN 'filename' THEN 2 WHEN 'mtime' THEN 1 ELSE 0 END AS d
+            FROM membership c JOIN asset a ON a.id = c.asset_id
+        ),
+        keep AS (
+            SELECT x.cluster_id, min(x.id) AS keep_asset_id FROM m x WHERE NOT EXISTS (
+                SELECT 1 FROM m y WHERE y.cluster_id = x.cluster_id
+                AND (y.e > x.e OR y.p > x.p OR y.b > x.b OR y.f > x.f OR y.s > x.s))
+            GROUP BY x.cluster_id
+        ),
+        dated AS (
+            SELECT m.cluster_id, m.id, row_number() OVER (
+                PARTITION BY m.cluster_id ORDER BY m.d DESC, (m.id = k.keep_asset_id) DESC, m.id) AS n
+            FROM m LEFT JOIN keep k USING (cluster_id) WHERE m.taken_at IS NOT NULL
+        )
+        SELECT c.id AS cluster_id, k.keep_asset_id, d.id AS date_asset_id
+        FROM (SELECT DISTINCT id FROM dedup_cluster) c
+        LEFT JOIN keep k ON k.cluster_id = c.id LEFT JOIN dated d ON d.cluster_id = c.id AND d.n = 1
+    """,
     "p1_found": """
         WITH v AS (
             SELECT DISTINCT asset_id, model, vec::DOUBLE[] AS vec FROM asset_embedding
