@@ -8,7 +8,10 @@ from ..session import table
 from .components import consolidate
 from .golden import golden_records
 from .history import dedup_inbox
-from .similar import most_similar, similar_pairs
+from .leaks import find_leaks, remove_leaks
+from .mixing import mix_shares
+from .residue import find_residue
+from .similar import similar_pairs
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,7 +34,43 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_inbox(table(spark, sf_dir, "asset"), table(spark, sf_dir, "asset_inbox"))
 
 
-QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p5_found": p5_found, "p6_found": p6_found}
+def p5_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return golden_records(
+        table(spark, sf_dir, "dedup_cluster"),
+        table(spark, sf_dir, "membership"),
+        table(spark, sf_dir, "asset"),
+        fields=("path", "gps_lat", "gps_lon", "live_cid", "burst_uuid"),
+    )
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_item"))
+    return found.select("doc_id", "item_id")
+
+
+def p8_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_item"))
+
+
+def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_shares(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_target"))
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_residue(table(spark, sf_dir, "documents")).select("doc_id")
+
+
+QUERIES = {
+    "p1_found": p1_found,
+    "p3_found": p3_found,
+    "p5_found": p5_found,
+    "p5_filled": p5_filled,
+    "p6_found": p6_found,
+    "p8_found": p8_found,
+    "p8_cleaned": p8_cleaned,
+    "p9_mix": p9_mix,
+    "p10_found": p10_found,
+}
 
 SQL: dict[str, str] = {
     "p3_found": """

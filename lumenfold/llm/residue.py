@@ -1,0 +1,262 @@
+"""Template residue, filler and error-page text, by character n-gram models.
+
+Three models of hashed character n-grams are fitted: filler and template slots, and
+server or browser notices, from the fixed examples below; natural prose from the
+n-gram counts of all documents. Every document is scored by the log-likelihood
+ratio of residue against prose; windows above a threshold localise the suspects. A
+window counts only if a residue shape stands in it and is not talked about. What
+the windows cover, as a share of the text, is the coverage to exclude by.
+
+Defined results: null and empty texts hold no residue; repeated texts are judged
+alike; texts of any length are scored whole.
+"""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+#: n of the n-grams, buckets of their hash, characters of a window.
+ORDER = 4
+BUCKETS = 1 << 17
+WINDOW = 16
+
+#: Fixed examples of filler and of template slots left without a value.
+FILLER_EXAMPLES = (
+    "lorem ipsum dolor sit amet, consectetur adipiscing elit, sed do eiusmod tempor incididunt ut labore et dolore",
+    "magna aliqua. ut enim ad minim veniam, quis nostrud exercitation ullamco laboris nisi ut aliquip ex ea commodo",
+    "consequat. duis aute irure dolor in reprehenderit in voluptate velit esse cillum dolore eu fugiat nulla pariatur",
+    "lorum ipsum lorem dol sum um nim ven qua cul tur ves mis bis por el em us ar ip ant ten or",
+    "this is placeholder text. sample text. dummy text. sample caption text. your text goes here. your caption here.",
+    "add your description here. enter a title here. replace this with your own words. insert text here. type here.",
+    "text to be added. to be completed. description coming soon. blindtext. texto de relleno. texte de remplissage.",
+    "{{name}} {{ title }} {{place}} {{date}} ${city} ${name} <%= title %> <%= name %> {% if name %} {% endif %}",
+    "[[title]] [[name]] <<name>> <<title>> @@name@@ @@date@@ __name__ __title__ %name% %title% %date% $name$ $title$",
+    "<your_name> <your_title> [insert name here] [insert date here] [name goes here] [title goes here] (name tbd)",
+    "hier steht ein beispieltext. blindtext, wird noch ersetzt. texte factice à remplacer. texto de ejemplo, sustituir.",
+    "asdf asdf qwert qwert blah blah bla foo foo xxx test test asdfgh asdf bla qwert xxx foo test blah",
+    "{name} {title} {place} {date} {count} undefined undefined undefined [object object] [object object] null",
+    "(camera tbd) (trip_name tbd) [your name] [your city] <insert name> <name> #name# ##title## {0} {1} %s %d",
+)
+#: Fixed examples of server error pages and of browser notices.
+NOTICE_EXAMPLES = (
+    "404 not found. error 404. the page you requested could not be found. page not found. 404 page missing",
+    "500 internal server error. 502 bad gateway. 503 service unavailable. 504 gateway time-out. 403 forbidden",
+    "<html><head><title>502</title></head><body><center><h1>502 bad gateway</h1></center><hr></body></html>",
+    "the requested address was not found on this server. no such page. this content is no longer available.",
+    "access denied. you do not have permission to view this page. your session has expired. log in again.",
+    "too many requests. slow down and try again later. could not connect to the database. query failed.",
+    "service temporarily unavailable. the site is down for maintenance and will be back in a few minutes.",
+    "oops! something went wrong. we can't seem to find the page you are looking for.",
+    "please enable javascript to view this page. javascript is required. this page does not work without it.",
+    "you need to turn on scripts in your browser to run this app. enable cookies and scripts to continue.",
+    "your browser is not supported. update it or switch on scripts. scripting is switched off. allow scripts and reload.",
+    "checking your browser before you continue. this takes a few seconds. turn off your ad blocker.",
+    "erreur 404 : la page demandée est introuvable. veuillez activer javascript pour afficher cette page.",
+    "seite nicht gefunden. fehler 404. interner serverfehler. bitte versuchen sie es später noch einmal.",
+    "bitte aktivieren sie javascript, um die seite zu sehen. ihr browser blockiert sie. braucht javascript.",
+    "active javascript en su navegador para ver esta página. página no encontrada. error interno del servidor.",
+)
+
+#: Fixed shapes of residue, on the folded text. Slots may be named by one to three words.
+_SLOTS = (
+    r"\{\{[^{}\n]{1,40}\}\}",
+    r"\$\{\w{1,40}\}",
+    r"<%[^%\n]{1,60}%>",
+    r"\{%[^%\n]{1,60}%\}",
+    r"\[\[\w[\w ]{0,40}\]\]",
+    r"<<\w{1,40}>>",
+    r"@@\w{1,40}@@",
+    r"__[a-z]\w{0,38}__",
+    r"(?<![\w%])%[a-z_]{2,40}%(?![\w%])",
+    r"(?<![\w$])\$[a-z_]{2,40}\$(?![\w$])",
+    r"<your_\w{1,40}>",
+    r"[\[<(]insert [\w ]{1,40}[\])>]",
+    r"[\[(][\w ]{1,40} goes here[\])]",
+    r"[\[(](?:your|enter) [\w ]{1,40}[\])]",
+    r"\(\w[\w ]{0,40} tbd\)",
+    r"\[object object\]",
+    r"(?<![\w/.{])\{[a-z_]{2,40}\}(?![\w/{])",
+    r"\bundefined\b",
+)
+_FILLER = (
+    r"\blorem ipsum\b",
+    r"\b(?:placeholder|sample|dummy|filler)(?: caption| title| description)? text\b",
+    r"\byour (?:text|title|caption|description|story)(?: goes)? here\b",
+    r"\b(?:add|put|write|enter|type|insert) (?:your|a|the|some) [\w ]{1,30} here\b",
+    r"\breplace this (?:text )?with your own\b",
+    r"\b(?:blindtext|beispieltext|platzhaltertext|fülltext|texte factice|texte de remplissage|faux texte)\b",
+    r"\btexto (?:de ejemplo|de relleno|de muestra|simulado|provisional)\b",
+    r"(?:\b(?:asdf\w*|qwert\w*|zxcv\w*|blah?|foo|bar|baz|xxx+|test|lorem)\b[ ,.]*){5,}",
+    r"(?:\b(?:(?:dol|lor|sum|ips|ip|um|nim|ven|qua|cul|tur|ves|mis|bis|por|el|em|us|ar|ant|ten|or|a)+)\b[ ,.]*){7,}",
+)
+_NOTICES = (
+    r"\b(?:error|erreur|fehler) 9{3}\b",
+    r"\b9{3} (?:not found|bad gateway|page missing|no such page|forbidden|internal server error|unauthorized"
+    r"|service (?:temporarily )?unavailable|gateway time-?out)\b",
+    r"<title>9{3}\b",
+    r"\b(?:internal server error|bad gateway|gateway time-?out)\b",
+    r"\bnot found on this server\b",
+    r"\bno longer available\b.{0,12}\b(?:the owner|removed|link)\b",
+    r"\bcontent is no longer available\b",
+    r"\baccess denied\b",
+    r"\bsession has expired\b",
+    r"\btoo many requests\b",
+    r"\bcould not connect to the database\b",
+    r"\bservice (?:is )?(?:temporarily )?unavailable\b",
+    r"\b(?:is|are) (?:currently )?down for maintenance\b",
+    r"\bcan(?:no|')t (?:seem to )?find the \w+ you(?: are|'re) looking for\b",
+    r"\bpage demandée est introuvable\b",
+    r"\bseite nicht gefunden\b",
+    r"\binterner serverfehler\b",
+    r"\bpágina no encontrada\b",
+    r"\b(?:enable|turn on|switch on|allow|activate|activer|activez|active|activa|habilite|aktivieren(?: sie)?)"
+    r" (?:cookies and )?(?:java ?)?scripts?\b",
+    r"\bscripts? (?:is|are) (?:required|disabled|switched off|turned off)\b",
+    r"\bjava ?script (?:is|ist|est) (?:required|disabled|off|erforderlich|requis)\b",
+    r"\bscripting is (?:switched|turned) off\b",
+    r"\b(?:needs|requires|braucht|nécessite|necesita) java ?script(?: *[.!]| *$)",
+    r"\bbrowser is not supported\b",
+    r"\bchecking your browser\b",
+    r"\bbrowser blockiert\b",
+)
+#: Words right before a shape that say the text only talks about it.
+_TALK = re.compile(
+    r"(?:\b(?:token|tokens|placeholder|variable|pattern|syntax|template|called|named|said|says|read|reads|saying"
+    r"|stands for|means|explained|explains|mentions?|wrote|writes)\b[^.!?]{0,6}|explained that [^.!?]{0,30})$"
+)
+_LOG_LINE = re.compile(r"9{4}-99-99t99:99:99\S* (?:info|warn|error|debug)\b[^\n]*")
+_KINDS = ("slot", "filler", "notice")
+_SHAPES = re.compile(
+    "|".join(
+        f"(?P<{kind}>{'|'.join(shapes)})" for kind, shapes in zip(_KINDS, (_SLOTS, _FILLER, _NOTICES))
+    )
+)
+
+
+def fold(text: str) -> str:
+    """Lower case, every digit a 9, line breaks kept, other spacing made one blank."""
+    return re.sub(r"[^\S\n]+", " ", re.sub(r"\d", "9", text.casefold().replace("’", "'")))
+
+
+def ngram_buckets(folded: str) -> np.ndarray:
+    """Hash bucket of the n-gram that starts at each character."""
+    codes = np.frombuffer(folded.encode("utf-32-le"), dtype="<u4").astype("u8")
+    if len(codes) < ORDER:
+        return np.zeros(0, "i8")
+    mixed = np.zeros(len(codes) - ORDER + 1, "u8")
+    for n in range(ORDER):
+        mixed = mixed * np.uint64(0x9E3779B1) + codes[n : len(codes) - ORDER + 1 + n]
+    return ((mixed * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - 17)).astype("i8")
+
+
+def prose_counts(documents: DataFrame, text: str) -> np.ndarray:
+    """n-gram counts of all documents; BUCKETS numbers, whatever the corpus."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(BUCKETS, "i8")
+        for batch in batches:
+            for body in batch.column(0).to_pylist():
+                if body:
+                    total += np.bincount(ngram_buckets(fold(body)), minlength=BUCKETS) if len(body) > 1 << 16 else 0
+                    if len(body) <= 1 << 16:
+                        np.add.at(total, ngram_buckets(fold(body)), 1)
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["bucket", "n"])
+
+    parts = documents.select(text).where(F.col(text).isNotNull()).mapInArrow(count, "bucket bigint, n bigint")
+    out = np.zeros(BUCKETS, "f8")
+    for row in parts.groupBy("bucket").agg(F.sum("n").alias("n")).collect():
+        out[row["bucket"]] = row["n"]
+    return out
+
+
+def fit_ratios(prose: np.ndarray, smoothing: float = 0.05) -> np.ndarray:
+    """Log-likelihood ratio of each n-gram: the likelier residue model against prose."""
+
+    def log_share(counts: np.ndarray) -> np.ndarray:
+        return np.log((counts + smoothing) / (counts.sum() + smoothing * BUCKETS))
+
+    models = []
+    for examples in (FILLER_EXAMPLES, NOTICE_EXAMPLES):
+        counts = np.zeros(BUCKETS)
+        for example in examples:
+            np.add.at(counts, ngram_buckets(fold(example)), 1)
+        models.append(log_share(counts))
+    return (np.maximum(*models) - log_share(prose)).astype("f4")
+
+
+def windows(folded: str, ratios: np.ndarray, threshold: float) -> list[tuple[int, int]]:
+    """Spans of the text whose windows lie above the threshold."""
+    scores = ratios[ngram_buckets(folded)]
+    if not len(scores):
+        return []
+    width = min(WINDOW, len(scores))
+    sums = np.concatenate([[0.0], np.cumsum(scores, dtype="f8")])
+    high = np.flatnonzero(sums[width:] - sums[:-width] > threshold * width)
+    if not len(high):
+        return []
+    breaks = np.flatnonzero(np.diff(high) > width) + 1
+    return [
+        (int(part[0]), int(part[-1]) + width + ORDER - 1) for part in np.split(high, breaks)
+    ]
+
+
+def judge(text: str, ratios: np.ndarray, threshold: float, margin: int = 60) -> list[tuple[str, int, int]]:
+    """(kind, start, end) of every residue shape in or next to a suspect window."""
+    folded = fold(text)
+    suspects = windows(folded, ratios, threshold)
+    if not suspects:
+        return []
+    logs = [m.span() for m in _LOG_LINE.finditer(folded)]
+    found, done = [], -1
+    for low, high in suspects:
+        for hit in _SHAPES.finditer(folded, max(0, low - margin), high + margin):
+            start, end = hit.span()
+            if start <= done or any(a <= start < b for a, b in logs):
+                continue
+            if _TALK.search(folded[max(0, start - 60) : start]):
+                continue
+            done = start
+            found.append((hit.lastgroup, start, end))
+    return found
+
+
+def find_residue(
+    documents: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = -0.5
+) -> DataFrame:
+    """doc_id, kinds, coverage of every document with residue.
+
+    kinds: slot, filler or notice, sorted. coverage: share of the text that the
+    residue shapes cover.
+    """
+    ratios = fit_ratios(prose_counts(documents, text))
+    shared = documents.sparkSession.sparkContext.broadcast(ratios)
+    kind = documents.schema[doc_id].dataType.simpleString()
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for number, body in zip(batch["doc_id"], batch["text"]):
+                found = judge(body, shared.value, threshold) if body else []
+                if found:
+                    covered = sum(end - start for _, start, end in found) / max(1, len(body))
+                    rows.append((number, sorted({k for k, _, _ in found}), min(1.0, covered)))
+            yield pd.DataFrame(rows, columns=["doc_id", "kinds", "coverage"])
+
+    chosen = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where(F.col("text").isNotNull())
+    return chosen.mapInPandas(scan, f"doc_id {kind}, kinds array<string>, coverage double").distinct()
+
+
+def exclude_residue(
+    documents: DataFrame, doc_id: str = "doc_id", text: str = "text", least_coverage: float = 0.0
+) -> DataFrame:
+    """The documents whose residue covers no more than ``least_coverage`` of the text."""
+    found = find_residue(documents, doc_id, text).where(F.col("coverage") > least_coverage)
+    return documents.join(found.select(F.col("doc_id").alias(doc_id)), doc_id, "left_anti")
