@@ -172,13 +172,14 @@ def most_similar(
     k: int = 5,
     min_cosine: float = 0.9,
     recall: float = 0.97,
-    sketch_share: float = 0.35,
+    sketch_sigmas: float = 3.0,
 ) -> DataFrame:
     """grp, id, other, cosine, rank: the k most similar vectors of cosine ``min_cosine`` or more.
 
     ``recall``: what the indexes shall reach for pairs right at ``min_cosine``; more
-    similar pairs are missed less. ``sketch_share``: share of the 64 sketch bits that
-    may differ before a pair is dropped unseen.
+    similar pairs are missed less. ``sketch_sigmas``: standard deviations above the
+    expected number of differing sketch bits, at ``min_cosine``, up to which a pair is
+    looked at.
     """
     if k < 1 or not 0 < min_cosine < 1 or not 0 < recall < 1:
         raise ValueError("k must be positive, min_cosine and recall between 0 and 1")
@@ -220,10 +221,12 @@ def most_similar(
         hot_pairs = _hot_pairs(probes.join(hot, "key"), index.join(hot, "key"), units, k, min_cosine)
 
     other = cold_index.select("key", F.col("rep").alias("b"), F.col("sketch").alias("sketch_b"))
+    differ = math.acos(min_cosine) / math.pi
+    most_apart = int(64 * differ + sketch_sigmas * math.sqrt(64 * differ * (1 - differ)))
     apart = F.bit_count(F.col("sketch").bitwiseXOR(F.col("sketch_b")))
     pairs = (
         probes.join(other.hint("shuffle_hash"), "key")
-        .where((F.col("rep") < F.col("b")) & (apart <= int(64 * sketch_share)))
+        .where((F.col("rep") < F.col("b")) & (apart <= most_apart))
         .select("g", F.col("rep").alias("a"), "b")
         .distinct()
     )
