@@ -1,4 +1,4 @@
 """Queries of the catalog's own operators, each with the same query in SQL."""
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from . import joins  # noqa: F401
+from .registry import QUERIES, SQL  # noqa: F401
