@@ -12,7 +12,7 @@ from ..operators.asof import bracket, locate, nearest
 from ..operators.range_join import block_pairs, near_pairs_in_time, range_join
 from ..operators.tiered import classify_files, roll_up
 from ..session import table
-from .registry import inbound, ledger, library, members, pings, query
+from .registry import inbound, ledger, library, members, pings, query, size_class
 
 _TIERS_SQL = """
     SELECT i.path, i.size_bytes,
@@ -304,7 +304,7 @@ def pair_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """WITH face AS (SELECT id, filename, size_bytes, w.epoch FROM inbound i
            JOIN (SELECT DISTINCT id AS k, taken_at FROM asset_inbox) x ON x.k = i.id
            LEFT JOIN wall w ON w.taken_at IS NOT DISTINCT FROM x.taken_at),
-       lib AS (SELECT id AS asset_id, regexp_extract(path, '[^/]*$') AS filename, bytes, epoch FROM ledger),
+       lib AS (SELECT id AS asset_id, regexp_extract(path, '[^/]*$') AS filename, bytes // 250000 AS bytes, epoch FROM ledger),
        near AS (SELECT f.id, min(l.asset_id) AS asset_id FROM face f JOIN lib l
            ON l.bytes = f.size_bytes AND abs(l.epoch - f.epoch) <= 5 GROUP BY f.id HAVING count(DISTINCT l.asset_id) = 1),
        named AS (SELECT f.id, min(l.asset_id) AS asset_id FROM face f JOIN lib l
@@ -321,11 +321,11 @@ def unique_interval_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     faces = table(spark, sf_dir, "asset_inbox").select("id", "path", "bytes", "taken_at").distinct().select(
         "id",
         file_name(F.col("path")).alias("filename"),
-        F.col("bytes").alias("size"),
+        size_class().alias("size"),
         parsed(F.col("taken_at"), wall_only=True)["secs"].alias("at"),
     )
     known = ledger(spark, sf_dir).select(
-        F.col("id").alias("asset_id"), file_name(F.col("path")).alias("name"), F.col("bytes").alias("size"), "epoch"
+        F.col("id").alias("asset_id"), file_name(F.col("path")).alias("name"), size_class().alias("size"), "epoch"
     )
     met = faces.join(known, "size").groupBy("id").agg(
         F.count_distinct(F.when(F.abs(F.col("at") - F.col("epoch")) <= 5, F.col("asset_id"))).alias("near"),
@@ -373,7 +373,7 @@ def _targets_and_fixes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Dat
 
 _ASOF_SQL = """p AS (SELECT *, floor(t / 86400.0)::BIGINT AS day FROM pings),
     f AS (SELECT * FROM p WHERE id % 3 <> 0), g AS (SELECT * FROM p WHERE id % 3 = 0),
-    b AS (SELECT g.id, g.t, x.t AS bt, x.lat AS blat, x.lon AS blon, y.t AS at, y.lat AS alat, y.lon AS alon
+    b AS (SELECT g.id, g.t, x.t AS bt, x.lat AS blat, x.lon AS blon, y.t AS nt, y.lat AS alat, y.lon AS alon
         FROM g ASOF LEFT JOIN f x ON x.device_id = g.device_id AND x.day = g.day AND x.t < g.t
         ASOF LEFT JOIN f y ON y.device_id = g.device_id AND y.day = g.day AND y.t >= g.t)"""
 
@@ -381,8 +381,8 @@ _ASOF_SQL = """p AS (SELECT *, floor(t / 86400.0)::BIGINT AS day FROM pings),
 @query(
     "asof_nearest",
     f"""WITH {_ASOF_SQL}
-    SELECT id, CASE WHEN bt IS NOT NULL AND (at IS NULL OR t - bt <= at - t) THEN bt ELSE at END AS fix_t FROM b
-    WHERE least(t - bt, at - t) <= 300""",
+    SELECT id, CASE WHEN bt IS NOT NULL AND (nt IS NULL OR t - bt <= nt - t) THEN bt ELSE nt END AS fix_t FROM b
+    WHERE least(t - bt, nt - t) <= 300""",
     "pings",
 )
 def asof_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -393,11 +393,11 @@ def asof_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "bracket_locate",
     f"""WITH {_ASOF_SQL},
-    c AS (SELECT *, least(t - bt, at - t) AS gap, (at - bt <= 21600) IS TRUE AS closed,
+    c AS (SELECT *, least(t - bt, nt - t) AS gap, coalesce(nt - bt <= 21600, false) AS closed,
         2 * 6371.0 * asin(sqrt(least(1.0, pow(sin(radians(alat - blat) / 2), 2)
           + cos(radians(blat)) * cos(radians(alat)) * pow(sin(radians(alon - blon) / 2), 2)))) AS km,
-        CASE WHEN at > bt THEN (t - bt) / (at - bt)::DOUBLE ELSE 0 END AS share,
-        (bt IS NOT NULL AND (at IS NULL OR t - bt <= at - t)) AS take_b FROM b)
+        CASE WHEN nt > bt THEN (t - bt) / (nt - bt)::DOUBLE ELSE 0 END AS share,
+        (bt IS NOT NULL AND (nt IS NULL OR t - bt <= nt - t)) AS take_b FROM b)
     SELECT id, CASE WHEN gap <= 300 THEN 'high' ELSE 'medium' END AS confidence,
         round(CASE WHEN gap <= 300 OR NOT closed THEN CASE WHEN take_b THEN blat ELSE alat END
             ELSE blat + share * (alat - blat) END, 6) AS lat,
@@ -456,24 +456,22 @@ def twin_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "geo_knn",
-    """WITH place AS (SELECT row_number() OVER (ORDER BY city, country) AS place_id, city, country, lat, lon FROM (
-           SELECT city, country, avg(lat) AS lat, avg(lon) AS lon FROM (SELECT DISTINCT * FROM asset_point)
-           WHERE city IS NOT NULL AND country IS NOT NULL AND lat IS NOT NULL AND lon IS NOT NULL AND NOT (lat = 0 AND lon = 0)
-           GROUP BY city, country)),
-       d AS (SELECT l.id, p.city, 2 * 6371.0 * asin(sqrt(least(1.0, pow(sin(radians(p.lat - l.gps_lat) / 2), 2)
-           + cos(radians(l.gps_lat)) * cos(radians(p.lat)) * pow(sin(radians(p.lon - l.gps_lon) / 2), 2)))) AS km
-           FROM ledger l JOIN place p ON fix)
+    """WITH place AS (SELECT device_id || '/' || day AS city, avg(lat) AS lat, avg(lon) AS lon FROM (
+           SELECT *, floor(t / 86400.0)::BIGINT AS day FROM pings WHERE id % 2 = 0) GROUP BY ALL),
+       d AS (SELECT l.id, p.city, 2 * 6371.0 * asin(sqrt(least(1.0, pow(sin(radians(p.lat - l.lat) / 2), 2)
+           + cos(radians(l.lat)) * cos(radians(p.lat)) * pow(sin(radians(p.lon - l.lon) / 2), 2)))) AS km
+           FROM pings l JOIN place p ON l.id % 2 = 1 AND abs(p.lat - l.lat) < 0.5)
        SELECT id, city, round(km, 6) AS km FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY km, city) AS r
            FROM d WHERE km <= 25) WHERE r = 1""",
-    "wall ledger",
+    "pings",
 )
 def geo_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The nearest place within 25 km of each fix, over cells of a quarter degree of latitude."""
-    points = table(spark, sf_dir, "asset_point").distinct().where(
-        "city is not null and country is not null and lat is not null and lon is not null and not (lat = 0 and lon = 0)"
-    )
-    places = points.groupBy("city", "country").agg(F.avg("lat").alias("plat"), F.avg("lon").alias("plon"))
-    return nearest_place(ledger(spark, sf_dir).where("fix").select("id", "gps_lat", "gps_lon"), places, 25.0)
+    """The nearest place within 25 km of each fix; places are the centres of the days of devices."""
+    points = pings(spark, sf_dir)
+    day = F.concat_ws("/", "device_id", F.floor(F.col("t") / 86400))
+    places = points.where("id % 2 = 0").groupBy(day.alias("city")).agg(F.avg("lat").alias("plat"), F.avg("lon").alias("plon"))
+    fixes = points.where("id % 2 = 1").select("id", F.col("lat").alias("gps_lat"), F.col("lon").alias("gps_lon"))
+    return nearest_place(fixes, places, 25.0)
 
 
 def nearest_place(points: DataFrame, places: DataFrame, most_km: float) -> DataFrame:

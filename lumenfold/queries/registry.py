@@ -30,12 +30,12 @@ ENTITIES = {
         FROM (SELECT DISTINCT * FROM asset) a LEFT JOIN wall w ON w.taken_at IS NOT DISTINCT FROM a.taken_at)""",
     "members": """members AS (SELECT DISTINCT cluster_id, asset_id FROM membership)""",
     "library": """library AS (
-        SELECT id AS asset_id, regexp_extract(path, '[^/]*$') AS filename, bytes AS size_bytes,
-            CASE WHEN phash IS NOT NULL THEN sha1(phash::VARCHAR || ':' || bytes::VARCHAR) END AS checksum
+        SELECT id AS asset_id, regexp_extract(path, '[^/]*$') AS filename, bytes // 250000 AS size_bytes,
+            CASE WHEN phash IS NOT NULL THEN sha1(phash::VARCHAR) END AS checksum
         FROM ledger WHERE status IN ('canonical', 'promoted'))""",
     "inbound": """inbound AS (
-        SELECT DISTINCT id, path, regexp_extract(path, '[^/]*$') AS filename, bytes AS size_bytes,
-            CASE WHEN phash IS NOT NULL THEN sha1(phash::VARCHAR || ':' || bytes::VARCHAR) END AS checksum
+        SELECT DISTINCT id, path, regexp_extract(path, '[^/]*$') AS filename, bytes // 250000 AS size_bytes,
+            CASE WHEN phash IS NOT NULL THEN sha1(phash::VARCHAR) END AS checksum
         FROM asset_inbox)""",
     "pings": """pings AS (
         SELECT device_id, t, min(lat) AS lat, min(lon) AS lon, min(id) AS id FROM (
@@ -77,14 +77,19 @@ def members(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def content_key() -> Column:
-    return F.when(F.col("phash").isNotNull(), F.sha1(F.concat_ws(":", F.col("phash").cast("string"), F.col("bytes").cast("string"))))
+    return F.sha1(F.col("phash").cast("string").cast("binary"))
+
+
+def size_class() -> Column:
+    """Stands for the file size: re-sent files differ by a few bytes in these tables."""
+    return F.floor(F.col("bytes") / 250_000)
 
 
 def library(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Accepted records as a library snapshot: asset_id, filename, size_bytes, checksum."""
     rows = table(spark, sf_dir, "asset").where(F.col("status").isin("canonical", "promoted")).distinct()
     return rows.select(
-        F.col("id").alias("asset_id"), file_name(F.col("path")).alias("filename"), F.col("bytes").alias("size_bytes"),
+        F.col("id").alias("asset_id"), file_name(F.col("path")).alias("filename"), size_class().alias("size_bytes"),
         content_key().alias("checksum"),
     )
 
@@ -94,7 +99,7 @@ def inbound(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
         table(spark, sf_dir, "asset_inbox")
         .select(
-            "id", "path", file_name(F.col("path")).alias("filename"), F.col("bytes").alias("size_bytes"),
+            "id", "path", file_name(F.col("path")).alias("filename"), size_class().alias("size_bytes"),
             content_key().alias("checksum"),
         )
         .distinct()
