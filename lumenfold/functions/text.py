@@ -110,7 +110,7 @@ def human_bytes(size: Column) -> Column:
     out = F.format_string("%d B", size.cast("bigint"))
     for power, unit in enumerate(("KB", "MB", "GB", "TB"), 1):
         out = F.when(
-            size >= 1024**power, F.concat(F.format_number(F.round(size / 1024**power, 1), "0.0"), F.lit(f" {unit}"))
+            size >= 1024**power, F.format_string(f"%.1f {unit}", F.round(size / 1024**power, 1))
         ).otherwise(out)
     return out
 

@@ -1,4 +1,4 @@
 """Queries of the catalog's own operators, each with the same query in SQL."""
 
-from . import aggregates, joins, ordered  # noqa: F401
+from . import aggregates, joins, ordered, scalars  # noqa: F401
 from .registry import QUERIES, SQL  # noqa: F401
