@@ -390,7 +390,8 @@ def array_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pixel_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Perceptual hash of 32 x 32 grey values made from each embedding (no SQL: a DCT in Python)."""
     vectors = table(spark, sf_dir, "embeddings")
-    pixels = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(15)), lambda k: F.transform("embedding", lambda x: x.cast("double") * (k + 1))))
+    row = F.col("embedding").cast("array<double>")
+    pixels = F.flatten(F.array(*(row if n % 2 else F.reverse(row) for n in range(16))))
     return vectors.select("vec_id", media.perceptual_hash(pixels).alias("phash"))
 
 
