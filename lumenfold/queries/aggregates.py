@@ -125,7 +125,7 @@ _TRIP = "regexp_extract({path}, '(t[0-9]{{6}})', 1)"
            FROM m JOIN c USING (trip) WHERE m.lat IS NOT NULL),
        p AS (SELECT trip, km, count(*) OVER (PARTITION BY trip) AS n, row_number() OVER (PARTITION BY trip ORDER BY km) - 1 AS i FROM a),
        z AS (SELECT trip, max(CASE WHEN i = least(n - 1, floor(n * 0.9)::BIGINT) THEN km END) AS km FROM p GROUP BY 1)
-       SELECT t.trip, b.s AS "start", b.e AS "end", round(c.lat, 6) AS lat, round(c.lon, 6) AS lon,
+       SELECT t.trip, b.s AS "start", b.e AS "end", round(c.lat, 8) AS lat, round(c.lon, 8) AS lon,
            round(coalesce(z.km, 0), 5) AS radius_km, t.n AS assets
        FROM (SELECT trip, count(*) AS n FROM m GROUP BY 1) t LEFT JOIN b USING (trip) LEFT JOIN c USING (trip) LEFT JOIN z USING (trip)""",
     "wall ledger",
@@ -139,7 +139,7 @@ def trip_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     found = trip_summary(rows, ["trip"])
     return found.select(
-        "trip", "start", "end", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"),
+        "trip", "start", "end", F.round("lat", 8).alias("lat"), F.round("lon", 8).alias("lon"),
         F.round("radius_km", 5).alias("radius_km"), "assets",
     )
 

@@ -322,7 +322,7 @@ def placed_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL["placed_items"] = (
     "WITH summary AS ("
     + SQL["trip_summaries"].replace("FROM ledger)", "FROM ledger WHERE status IN ('canonical', 'promoted'))", 1).replace(
-        "round(c.lat, 6) AS lat, round(c.lon, 6) AS lon,\n           round(coalesce(z.km, 0), 5) AS radius_km",
+        "round(c.lat, 8) AS lat, round(c.lon, 8) AS lon,\n           round(coalesce(z.km, 0), 5) AS radius_km",
         "c.lat AS lat, c.lon AS lon, coalesce(z.km, 0) AS radius_km",
     )
     + """),
