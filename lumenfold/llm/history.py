@@ -143,10 +143,11 @@ class HistoryStore:
 
 
 def _decide(rows: DataFrame) -> DataFrame:
-    """known_id, new_id among arrivals of conflicted classes; known_id null: accepted.
+    """known_id, new_id among arrivals; known_id null: accepted.
 
     ``rows``: part, batch_no, id, path_id, sig, near (signature classes within
-    reach), in any order; each part is read once in order of batch_no and id.
+    reach), old (already known to duplicate history, so never accepted), in any order;
+    each part is read once in order of batch_no and id.
     """
     placed = rows.repartition("part").sortWithinPartitions("part", "batch_no", "id")
 
@@ -154,7 +155,7 @@ def _decide(rows: DataFrame) -> DataFrame:
         current, by_path, by_sig = object(), {}, {}
         for batch in batches:
             known, new = [], []
-            for part, _, number, path, sig, near in zip(*(batch.column(n).to_pylist() for n in range(6))):
+            for part, _, number, path, sig, near, old in zip(*(batch.column(n).to_pylist() for n in range(7))):
                 if part != current:
                     current, by_path, by_sig = part, {}, {}
                 met = {by_path[path]} if path is not None and path in by_path else set()
@@ -164,6 +165,7 @@ def _decide(rows: DataFrame) -> DataFrame:
                 if met:
                     known.extend(sorted(met))
                     new.extend([number] * len(met))
+                if met or old:
                     continue
                 known.append(None)
                 new.append(number)
@@ -175,7 +177,7 @@ def _decide(rows: DataFrame) -> DataFrame:
                 [pa.array(known, pa.int64()), pa.array(new, pa.int64())], names=["known_id", "new_id"]
             )
 
-    ordered = placed.select("part", "batch_no", "id", "path_id", "sig", "near")
+    ordered = placed.select("part", "batch_no", "id", "path_id", "sig", "near", "old")
     return ordered.mapInArrow(scan, "known_id bigint, new_id bigint")
 
 
@@ -190,9 +192,11 @@ def dedup_arrivals(store: HistoryStore, arrivals: DataFrame, append: bool = True
     chosen = arrivals.select("id", "batch_no", "path", "phash", "taken_at").where(F.col("id").isNotNull())
     signed = scratch.keep(_signed(chosen.dropDuplicates(["batch_no", "id"])), "signed")
     old = scratch.keep(store.probe(signed), "old")
-    fresh = signed.join(old.select(F.col("new_id").alias("id")).distinct(), "id", "left_anti")
+    # Arrivals that duplicate history are never accepted, but may duplicate accepted arrivals too.
+    rejected = old.select(F.col("new_id").alias("id")).distinct().withColumn("old", F.lit(True))
     sig = F.when(F.col("phash").isNotNull() & F.col("sec").isNotNull(), F.xxhash64("phash", "sec"))
-    fresh = scratch.keep(fresh.withColumn("sig", sig), "fresh")
+    fresh = signed.join(rejected, "id", "left").withColumn("old", F.coalesce("old", F.lit(False))).withColumn("sig", sig)
+    fresh = scratch.keep(fresh, "fresh")
 
     classes = fresh.where(F.col("sig").isNotNull()).groupBy("sig").agg(
         F.first("phash").alias("phash"), F.first("sec").alias("sec")
@@ -217,7 +221,7 @@ def dedup_arrivals(store: HistoryStore, arrivals: DataFrame, append: bool = True
         fresh.withColumn("node", node)
         .join(parts, "node", "left")
         .join(near, "sig", "left")
-        .select(F.coalesce("component", "node").alias("part"), "batch_no", "id", "path_id", "sig", "near")
+        .select(F.coalesce("component", "node").alias("part"), "batch_no", "id", "path_id", "sig", "near", "old")
     )
     decided = scratch.keep(_decide(rows), "decided")
     if append:

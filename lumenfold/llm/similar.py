@@ -137,14 +137,16 @@ def _hot_pairs(hot_probes: DataFrame, hot_index: DataFrame, units: DataFrame, k:
     sizes_y = right.select("key", "n_y").distinct()
     left = left.join(sizes_y, "key").withColumn("y", F.explode(F.sequence(F.lit(0), F.col("n_y") - 1)))
     right = right.join(sizes_x, "key").withColumn("x", F.explode(F.sequence(F.lit(0), F.col("n_x") - 1)))
+    left = left.select("key", "x", "y", "g", "rep", "unit")
+    right = right.select(*(F.col(c).alias(f"{c}_r") for c in ("key", "x", "y", "rep", "unit")))
 
     def best(queries: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
         if not len(queries) or not len(others):
             return pd.DataFrame({"g": [], "a": [], "b": [], "cosine": []})
-        ids = others["rep"].to_numpy()
+        ids = others["rep_r"].to_numpy()
         order = np.argsort(ids)
         ids = ids[order]
-        cosines = np.stack(queries["unit"].to_numpy()) @ np.stack(others["unit"].to_numpy())[order].T
+        cosines = np.stack(queries["unit"].to_numpy()) @ np.stack(others["unit_r"].to_numpy())[order].T
         cosines[queries["rep"].to_numpy()[:, None] == ids[None, :]] = -2
         top = np.argsort(-cosines, axis=1, kind="stable")[:, :k]
         found = np.take_along_axis(cosines, top, axis=1)
@@ -158,8 +160,7 @@ def _hot_pairs(hot_probes: DataFrame, hot_index: DataFrame, units: DataFrame, k:
             }
         )
 
-    keys = ["key", "x", "y"]
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(
+    return left.groupBy("key", "x", "y").cogroup(right.groupBy("key_r", "x_r", "y_r")).applyInPandas(
         best, "g int, a bigint, b bigint, cosine double"
     )
 
