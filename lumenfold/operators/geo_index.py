@@ -21,11 +21,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import Scratch
 from .skew import blocked_join
 
 EARTH_M = 6_371_000.0
-#: Most covering ranges that are sent to every executor; more are joined by shuffle.
+#: Most covering ranges, and most ring corners in them, that are sent to every executor;
+#: more are joined by shuffle.
 RANGES_BROADCAST = 200_000
+CORNERS_BROADCAST = 2_000_000
 
 
 def is_fix(lat: Column, lon: Column, null_island: float = 0.001) -> Column:
@@ -284,7 +287,8 @@ def points_in_regions(
     The covering is sent to every executor if it has at most RANGES_BROADCAST ranges,
     else both sides are shuffled by coarse cell, hot cells in blocks.
     """
-    ranges = cover_regions(regions, region_key, ring)
+    ranges = Scratch(points.sparkSession, "regions").keep(cover_regions(regions, region_key, ring), "ranges")
+    size = ranges.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.size("xs")), F.lit(0)).alias("corners")).first()
     fixes = points.select(F.col(key).alias("key"), F.col(lat).alias("lat"), F.col(lon).alias("lon")).where(
         F.col("key").isNotNull() & is_fix(F.col("lat"), F.col("lon"))
     )
@@ -293,14 +297,12 @@ def points_in_regions(
     coded = turned.withColumn("code", morton2(cx, cy)).withColumn(
         "coarse", F.shiftright("code", 2 * (_BITS - _COARSE))
     )
-    found = ranges.take(RANGES_BROADCAST + 1)
-    if len(found) <= RANGES_BROADCAST:
-        small = points.sparkSession.createDataFrame(found, ranges.schema)
+    if size["n"] <= RANGES_BROADCAST and size["corners"] <= CORNERS_BROADCAST:
         # Most of the globe lies in no region: the coarse cells in use are a bounded list.
-        cells = sorted({row["coarse"] for row in found})
+        cells = sorted(row["coarse"] for row in ranges.select("coarse").distinct().collect())
         if len(cells) <= 2_000:
             coded = coded.where(F.col("coarse").isin(cells)) if cells else coded.limit(0)
-        met = coded.join(F.broadcast(small), "coarse")
+        met = coded.join(F.broadcast(ranges), "coarse")
     else:
         met = blocked_join(coded, ranges, ["coarse"])
     held = (

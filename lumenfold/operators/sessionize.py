@@ -10,11 +10,19 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def gap_sessions(df: DataFrame, keys: list[str], t: str, gap: float, tie: str) -> DataFrame:
-    """df with session (from 1 per key): a new one where the time since the last row exceeds ``gap``."""
-    order = Window.partitionBy(*keys).orderBy(t, tie)
-    opens = F.coalesce(F.col(t) - F.lag(t).over(order) > gap, F.lit(True)).cast("int")
-    return df.withColumn("__opens", opens).withColumn("session", F.sum("__opens").over(order)).drop("__opens")
+def gap_sessions(df: DataFrame, keys: list[str], t: str, gap: float) -> DataFrame:
+    """df with session (from 1 per key): a new one where the time since the last row exceeds ``gap``.
+
+    Rows in one time slot as wide as the gap are always of one session, so sessions are
+    found on the first and last time of each slot; the rows of a hot key are never
+    sorted in one task. Rows without a time get no session.
+    """
+    slotted = df.withColumn("__slot", F.floor(F.col(t) / F.lit(gap)))
+    slots = slotted.where(F.col(t).isNotNull()).groupBy(*keys, "__slot").agg(F.min(t).alias("__first"), F.max(t).alias("__last"))
+    order = Window.partitionBy(*keys).orderBy("__slot")
+    opens = F.coalesce(F.col("__first") - F.lag("__last").over(order) > gap, F.lit(True)).cast("int")
+    numbered = slots.withColumn("__opens", opens).withColumn("session", F.sum("__opens").over(order))
+    return slotted.join(numbered.select(*keys, "__slot", "session"), [*keys, "__slot"], "left").drop("__slot")
 
 
 def event_sweep(
@@ -28,7 +36,7 @@ def event_sweep(
     gaps are exact, independent units: they are found by a window and swept side by
     side. Equal times keep the order of id.
     """
-    cut = gap_sessions(points.where("t is not null and lat is not null and lon is not null"), keys, "t", gap, "id")
+    cut = gap_sessions(points.where("t is not null and lat is not null and lon is not null"), keys, "t", gap)
     placed = cut.repartition(*keys, "session").sortWithinPartitions(*keys, "session", "t", "id")
     kinds = dict(points.dtypes)
     schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), f"id {kinds['id']}", f"event {kinds['id']}", "size bigint"])

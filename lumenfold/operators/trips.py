@@ -8,6 +8,10 @@ segments of low speed are the stop candidates; an exact check grows or shrinks e
 to the longest run within the radius of its own centre. What lies between two stops
 of a session is a trip, with the length of its simplified path.
 
+A span is held in memory only up to CHUNK pings: beyond that it is closed at the last
+step longer than the diameter of a stop, which no stop can straddle, and the open trip
+is carried on. Only a device that never makes such a step stays whole.
+
 Defined results: pings without device or time are left out, as are void fixes; a
 session with fewer than two pings, and a run shorter than the least duration, give
 nothing; repeated rows count once.
@@ -23,6 +27,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 EARTH_M = 6_371_000.0
+#: Pings of a span that are held before it is cut at a long step.
+CHUNK = 100_000
 
 
 def _metres(lat1, lon1, lat2, lon2):
@@ -141,82 +147,131 @@ def stops_and_trips(
         .withColumn("next", F.lead("first").over(in_order))
         .withColumn("opens", F.coalesce(F.col("bucket") - F.col("before") > 2, F.lit(True)))
         .withColumn("span", F.sum(F.col("opens").cast("int")).over(in_order))
-        .select("device_id", "bucket", "span", F.when(F.col("opens"), F.col("prior")).alias("prior"), "next")
+        .select(
+            "device_id",
+            "bucket",
+            "span",
+            *(F.when(F.col("opens"), F.col("prior")[c]).alias(f"prior_{c}") for c in ("t", "lat", "lon")),
+            *(F.col("next")[c].alias(f"next_{c}") for c in ("t", "lat", "lon")),
+        )
     )
+    context = [f"{side}_{c}" for side in ("prior", "next") for c in ("t", "lat", "lon")]
     placed = (
         bucketed.join(spans, ["device_id", "bucket"])
-        .select("device_id", "span", "t", "lat", "lon", "prior", "next")
+        .select("device_id", "span", "t", "lat", "lon", *context)
         .repartition("device_id", "span")
         .sortWithinPartitions("device_id", "span", "t", "lat", "lon")
     )
 
-    def one(device: str, t, lat, lon, prior, following) -> list[tuple]:
-        keep = np.ones(len(t), bool)
-        keep[1:] = (np.diff(t) != 0) | (np.diff(lat) != 0) | (np.diff(lon) != 0)
-        t, lat, lon = t[keep], lat[keep], lon[keep]
-        # The neighbours across the silence count when a fix is judged as wild.
-        head = [prior] if prior is not None else []
-        tail = [following] if following is not None else []
-        wide_t = np.concatenate([[p[0] for p in head], t, [p[0] for p in tail]])
-        wide_lat = np.concatenate([[p[1] for p in head], lat, [p[1] for p in tail]])
-        wide_lon = np.concatenate([[p[2] for p in head], lon, [p[2] for p in tail]])
-        speed = _metres(wide_lat[:-1], wide_lon[:-1], wide_lat[1:], wide_lon[1:]) * 3.6
-        fast = speed > wild_kmh * np.maximum(np.diff(wide_t), 0)
-        wild = np.zeros(len(wide_t), bool)
-        wild[1:-1] = fast[:-1] & fast[1:]
-        good = ~wild[len(head) : len(head) + len(t)]
-        t, lat, lon = t[good], lat[good], lon[good]
-        cuts = np.flatnonzero(np.diff(t) > silence_s) + 1
-        out = []
-        for a, b in zip([0, *cuts], [*cuts, len(t)]):
-            if b - a < 2:
-                continue
-            st, sy, sx = t[a:b], lat[a:b], lon[a:b]
-            stops, path, x, y = stops_of(st, sy, sx, radius_m, least_s, tolerance_m, slow_mps)
-            for n, (low, high) in enumerate(stops):
-                out.append((device, "stop", st[low], st[high], st[high] - st[low], 0.0, high - low + 1))
-                if n:
-                    left = stops[n - 1][1]
-                    along = [left, *(k for k in path if left < k < low), low]
-                    length = float(_metres(sy[along[:-1]], sx[along[:-1]], sy[along[1:]], sx[along[1:]]).sum())
-                    out.append((device, "trip", st[left], st[low], st[low] - st[left], length, low - left + 1))
-        return out
-
     columns = ["device_id", "kind", "start_s", "end_s", "duration_s", "distance_m", "pings"]
 
-    def point(value):
-        return None if value is None else (value["t"], value["lat"], value["lon"])
+    class Span:
+        """The pings of one span that are not yet done with, and the trip under way."""
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
+        def __init__(self, device, span):
+            self.key = (device, span)
+            self.parts: list[np.ndarray] = []
+            self.size = 0
+            self.prior: np.ndarray | None = None
+            self.stop: tuple | None = None  # time of the last stop's end, metres and pings since, last point
 
-        def closed() -> list[tuple]:
-            whole = pd.concat(held, ignore_index=True) if len(held) > 1 else held[0]
-            return one(
-                whole["device_id"].iloc[0],
-                *(whole[c].to_numpy("f8") for c in ("t", "lat", "lon")),
-                point(whole["prior"].iloc[0]),
-                point(whole["next"].iloc[-1]),
-            )
+        def add(self, block: np.ndarray) -> None:
+            if self.prior is None and not self.size and not np.isnan(block[0, 3]):
+                self.prior = block[0, 3:6]
+            self.parts.append(block)
+            self.size += len(block)
+
+        def done(self, last: bool) -> list[tuple]:
+            """Rows of the span so far; unless it is the last call, up to a long step only."""
+            block = np.concatenate(self.parts)
+            keep = np.ones(len(block), bool)
+            keep[1:] = (np.diff(block[:, :3], axis=0) != 0).any(axis=1)
+            block = block[keep]
+            t, lat, lon = block[:, 0], block[:, 1], block[:, 2]
+            head = [] if self.prior is None else [self.prior]
+            tail = [] if not last or np.isnan(block[-1, 6]) else [block[-1, 6:9]]
+            # The neighbours across the silence count when a fix is judged as wild.
+            wide = np.vstack([*head, block[:, :3], *tail])
+            speed = _metres(wide[:-1, 1], wide[:-1, 2], wide[1:, 1], wide[1:, 2]) * 3.6
+            fast = speed > wild_kmh * np.maximum(np.diff(wide[:, 0]), 0)
+            wild = np.zeros(len(wide), bool)
+            wild[1:-1] = fast[:-1] & fast[1:]
+            good = ~wild[len(head) : len(head) + len(t)]
+            t, lat, lon, raw = t[good], lat[good], lon[good], np.flatnonzero(good)
+            end = len(t)
+            if not last:
+                steps = _metres(lat[:-1], lon[:-1], lat[1:], lon[1:])
+                cuts = np.flatnonzero(steps[:-2] > 2 * radius_m) + 1 if len(steps) > 2 else []
+                if not len(cuts):
+                    self.parts, self.size = [block], len(block)
+                    return []
+                end = int(cuts[-1])
+            rows = self.sessions(t[:end], lat[:end], lon[:end])
+            if last:
+                self.parts, self.size = [], 0
+            else:
+                self.prior = np.array([t[end - 1], lat[end - 1], lon[end - 1]])
+                rest = block[raw[end] :]
+                self.parts, self.size = [rest], len(rest)
+            return rows
+
+        def sessions(self, t, lat, lon) -> list[tuple]:
+            device, rows = self.key[0], []
+            cuts = np.flatnonzero(np.diff(t) > silence_s) + 1
+            for a, b in zip([0, *cuts], [*cuts, len(t)]):
+                st, sy, sx = t[a:b], lat[a:b], lon[a:b]
+                if not len(st):
+                    continue
+                if self.stop is not None and st[0] - self.stop[3][0] > silence_s:
+                    self.stop = None
+                stops, path, _, _ = stops_of(st, sy, sx, radius_m, least_s, tolerance_m, slow_mps) if len(st) > 1 else ([], [0], 0, 0)
 
+                def along(first: int, last: int) -> float:
+                    points = [first, *(k for k in path if first < k < last), last]
+                    return float(_metres(sy[points[:-1]], sx[points[:-1]], sy[points[1:]], sx[points[1:]]).sum())
+
+                begun = 0
+                for low, high in stops:
+                    if self.stop is not None:
+                        left, metres, count, point = self.stop
+                        link = 0.0 if point[0] == st[begun] else float(_metres(point[1], point[2], sy[begun], sx[begun]))
+                        metres += link + along(begun, low)
+                        count += low - begun + (point[0] != st[begun])
+                        rows.append((device, "trip", left, st[low], st[low] - left, metres, count))
+                    rows.append((device, "stop", st[low], st[high], st[high] - st[low], 0.0, high - low + 1))
+                    self.stop = (st[high], 0.0, 1, (st[high], sy[high], sx[high]))
+                    begun = high
+                if self.stop is not None:
+                    left, metres, count, point = self.stop
+                    link = 0.0 if point[0] == st[begun] else float(_metres(point[1], point[2], sy[begun], sx[begun]))
+                    ahead = len(st) - 1
+                    self.stop = (
+                        left,
+                        metres + link + (along(begun, ahead) if ahead > begun else 0.0),
+                        count + ahead - begun + (point[0] != st[begun]),
+                        (st[ahead], sy[ahead], sx[ahead]),
+                    )
+            return rows
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: Span | None = None
         for batch in batches:
             rows: list[tuple] = []
             if len(batch):
                 changed = (batch["device_id"] != batch["device_id"].shift()) | (batch["span"] != batch["span"].shift())
                 starts = [*np.flatnonzero(changed.to_numpy()), len(batch)]
+                numbers = batch[["t", "lat", "lon", *context]].to_numpy("f8")
                 for a, b in zip(starts, starts[1:]):
-                    part = batch.iloc[a:b]
-                    same = held and (held[-1]["device_id"].iloc[0], held[-1]["span"].iloc[0]) == (
-                        part["device_id"].iloc[0],
-                        part["span"].iloc[0],
-                    )
-                    if held and not same:
-                        rows += closed()
-                        held.clear()
-                    held.append(part)
+                    key = (batch["device_id"].iloc[a], batch["span"].iloc[a])
+                    if held is None or held.key != key:
+                        rows += held.done(True) if held is not None else []
+                        held = Span(*key)
+                    held.add(numbers[a:b])
+                    if held.size >= CHUNK:
+                        rows += held.done(False)
             yield pd.DataFrame(rows, columns=columns)
-        if held:
-            yield pd.DataFrame(closed(), columns=columns)
+        if held is not None and held.size:
+            yield pd.DataFrame(held.done(True), columns=columns)
 
     schema = "device_id string, kind string, start_s double, end_s double, duration_s double, distance_m double, pings bigint"
     return placed.mapInPandas(read, schema)

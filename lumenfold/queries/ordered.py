@@ -33,7 +33,7 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
        SELECT user_id, k::BIGINT AS session, min(t) AS first_t, max(t) AS last_t, count(*) AS n FROM s GROUP BY ALL""",
 )
 def gap_session_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = gap_sessions(_events(spark, sf_dir), ["user_id"], "t", 14400, "event_id")
+    found = gap_sessions(_events(spark, sf_dir), ["user_id"], "t", 14400)
     return found.groupBy("user_id", "session").agg(
         F.min("t").alias("first_t"), F.max("t").alias("last_t"), F.count(F.lit(1)).alias("n")
     )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import shutil
 import tempfile
 import uuid
@@ -9,6 +10,13 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN_DIRS: dict[str, str] = {}
+_OPEN: dict[str, list] = {}
+
+
+@atexit.register
+def _drop_own_dirs() -> None:
+    for folder in _OWN_DIRS.values():
+        shutil.rmtree(folder, ignore_errors=True)
 
 
 def get_session(master: str = "local[*]", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
@@ -46,6 +54,12 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + _OWN_DIRS[app]
 
 
+def sweep(spark: SparkSession) -> None:
+    """Deletes every scratch table of this application; results that read them must be written before."""
+    for scratch in _OPEN.pop(spark.sparkContext.applicationId, []):
+        scratch.close()
+
+
 class Scratch:
     """Tables written to the shared folder to cut lineage.
 
@@ -57,6 +71,7 @@ class Scratch:
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}"
+        _OPEN.setdefault(spark.sparkContext.applicationId, []).append(self)
         self._count = 0
         self._paths: dict[int, str] = {}
 

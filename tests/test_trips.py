@@ -75,3 +75,23 @@ def test_simplify_keeps_far_points():
     x = np.where(t == 5, 500.0, 0.0)
     assert simplify(t, x, np.zeros(11), 75.0)[0] == 0 and 5 in simplify(t, x, np.zeros(11), 75.0)
     assert simplify(t, np.zeros(11), np.zeros(11), 75.0) == [0, 10]
+
+
+def test_long_spans_are_cut_at_long_steps_without_effect(spark, monkeypatch):
+    from lumenfold.operators import trips
+
+    pings, t = [], 0
+    for n in range(12):
+        pings += stay(t, 30, 60, 50.0 + n * 0.05, seed=n)
+        t += 30 * 60
+        pings += move(t, 8, 90, 50.002 + n * 0.05, 600)
+        t += 8 * 90
+        if n % 5 == 4:
+            t += 5 * 3600
+    pings += [(pings[40][0] + 1, 57.0, 10.0), (pings[200][0] + 1, 57.0, 10.0)]
+    rows = {(k, int(s), int(e), p, round(d)) for k, s, e, p, d in rows_of(run(spark, pings), "kind", "start_s", "end_s", "pings", "distance_m")}
+    monkeypatch.setattr(trips, "CHUNK", 25)
+    cut = {(k, int(s), int(e), p, round(d)) for k, s, e, p, d in rows_of(run(spark, pings), "kind", "start_s", "end_s", "pings", "distance_m")}
+    assert {r[:4] for r in cut} == {r[:4] for r in rows} and len(rows) > 15
+    for one, two in zip(sorted(rows), sorted(cut)):
+        assert abs(one[4] - two[4]) <= 0.05 * max(one[4], 1)
