@@ -115,8 +115,8 @@ def connected_components(
         forest, left = following, following.count()
     else:
         raise RuntimeError(f"no convergence within {MOST_ROUNDS} rounds")
-    if forest.rdd.getNumPartitions() > 1:
-        forest = local_forests(forest.coalesce(1), 2 * partition_edges)
+    # What is left fits one partition: union-find over it is final.
+    forest = local_forests(forest.coalesce(1), 2 * partition_edges)
     done = scratch.keep(forest.select(F.col("v").alias("node"), F.col("r").alias("component")), "done")
     for leaves in reversed(retired):
         top = done.select(F.col("node").alias("r"), "component")

@@ -171,8 +171,7 @@ def golden_records(
     keep: the survivor of the policy. date: the member with a capture date from the
     most trusted date source; among several the survivor, else the smallest id.
     """
-    ledger = records.dropDuplicates(["id"]) if fields else records
-    known = ledger.select(
+    known = records.select(
         F.col("id").alias("asset_id"),
         policy_dims(records).alias("dims"),
         F.when(F.col("taken_at").isNotNull(), rank_of(F.col("taken_src"), DATE_TRUST)).alias("date_rank"),
