@@ -1,4 +1,4 @@
-"""Connected components by label propagation with pointer jumping."""
+"""Connected components by hooking and pointer jumping over label tables."""
 
 from __future__ import annotations
 
@@ -11,26 +11,30 @@ from ..session import Scratch
 def components(edges: DataFrame, a: str, b: str, most_rounds: int = 60) -> DataFrame:
     """node, component: every node with an edge and the smallest node it is linked to.
 
-    Each round links every node to the smallest label among itself and its
-    neighbours, then to the label of that label, which halves long chains. Labels are
-    written to the shared folder after each round; the loop ends when none changed.
+    Each round takes the label of the label of every neighbour. The smallest of them
+    goes to the node and to the node's own label, so whole trees hook onto smaller
+    ones, and labels jump to the label of their label. The number of rounds grows as
+    the logarithm of the longest chain. Labels are written to the shared folder after
+    each round; the loop ends when none changed.
     """
     scratch = Scratch(edges.sparkSession, "labels")
     pairs = edges.select(F.col(a).alias("v"), F.col(b).alias("u")).where("v is not null and u is not null and v <> u")
     both = scratch.keep(pairs.unionByName(pairs.select(F.col("u").alias("v"), F.col("v").alias("u"))).distinct(), "edges")
     labels = scratch.keep(both.groupBy("v").agg(F.min("u").alias("u")).select("v", F.least("v", "u").alias("label")), "labels")
     for _ in range(most_rounds):
-        near = both.join(labels.select(F.col("v").alias("u"), F.col("label").alias("seen")), "u").groupBy("v").agg(
-            F.min("seen").alias("seen")
-        )
-        step = labels.join(near, "v").select("v", F.col("label").alias("old"), F.least("label", "seen").alias("label"))
         above = labels.select(F.col("v").alias("label"), F.col("label").alias("top"))
-        jumped = scratch.keep(
-            step.join(above, "label").select("v", "old", F.least("label", "top").alias("label")), "labels"
+        jumped = scratch.keep(labels.join(above, "label").select("v", "label", "top"), "jumped")
+        near = both.join(jumped.select(F.col("v").alias("u"), F.col("top").alias("seen")), "u").groupBy("v").agg(
+            F.min("seen").alias("seen")
         )
-        changed = jumped.where("old <> label").limit(1).count()
-        scratch.drop(labels)
-        labels = jumped.select("v", "label")
+        met = jumped.join(near, "v")
+        own = met.select("v", F.col("label").alias("old"), F.least("label", "top", "seen").alias("label"))
+        hooked = met.select(F.col("label").alias("v"), F.lit(None).cast(own.schema["old"].dataType).alias("old"), F.col("seen").alias("label"))
+        following = own.unionByName(hooked).groupBy("v").agg(F.max("old").alias("old"), F.min("label").alias("label"))
+        following = scratch.keep(following, "labels")
+        changed = following.where("old <> label").limit(1).count()
+        scratch.drop(labels, jumped)
+        labels = following
         if not changed:
             return labels.select(F.col("v").alias("node"), F.col("label").alias("component"))
     raise RuntimeError(f"no convergence within {most_rounds} rounds")

@@ -212,3 +212,49 @@ def export_date_trap(media: DataFrame) -> DataFrame:
 def makernote_present(media: DataFrame) -> DataFrame:
     noted = media.where(F.exists(F.map_keys("tags"), lambda k: k.startswith("MakerNotes:")))
     return _as_fields(noted, {"MakerNote": F.lit("present")})
+
+
+def _number(tags: Column, *keys: str) -> Column:
+    """The first of the tags that is a number."""
+    return F.coalesce(*(tags[k].try_cast("double") for k in keys))
+
+
+@rule("gps-from-siblings", "medium")
+def gps_from_siblings(media: DataFrame) -> DataFrame:
+    """Positions from the fixes around a file's time in its folder, if it has five fixes or more."""
+    from .asof import bracket, locate
+
+    tags = F.col("tags")
+    lat, lon = _number(tags, "Composite:GPSLatitude"), _number(tags, "Composite:GPSLongitude")
+    when = F.unix_seconds(exif_timestamp(first_present(tags, *DATE_TAGS)))
+    rows = media.select("folder", F.col("path").alias("id"), when.alias("t"), lat.alias("lat"), lon.alias("lon")).where("t is not null")
+    usable = rows.where((F.abs("lat") >= 1e-3) | (F.abs("lon") >= 1e-3))
+    rich = usable.groupBy("folder").count().where("count >= 5").select("folder")
+    fixes = usable.join(rich, "folder", "left_semi").select("folder", "t", "lat", "lon")
+    targets = rows.join(usable.select("id"), "id", "left_anti").join(rich, "folder", "left_semi").select("folder", "id", "t")
+    found = locate(bracket(targets, fixes, ["folder"])).where("confidence is not null").withColumnRenamed("id", "path")
+    return _as_fields(
+        found,
+        {
+            "GPSLatitude": F.format_string("%.6f", F.abs("lat")),
+            "GPSLatitudeRef": F.when(F.col("lat") >= 0, "N").otherwise("S"),
+            "GPSLongitude": F.format_string("%.6f", F.abs("lon")),
+            "GPSLongitudeRef": F.when(F.col("lon") >= 0, "E").otherwise("W"),
+        },
+    )
+
+
+@rule("bloat-candidate", "low")
+def bloat_candidate(media: DataFrame) -> DataFrame:
+    """Videos with more bits a pixel than their codec needs; names and folders to preserve are left out."""
+    tags = F.col("tags")
+    codec = F.lower(first_present(tags, "QuickTime:CompressorID", "QuickTime:VideoCodec"))
+    limit = F.when(codec.rlike("hvc1|hev1|hevc"), 0.08).when(codec.rlike(r"avc1|h264|h\.264"), 0.15)
+    width, height = _number(tags, "QuickTime:ImageWidth", "Composite:ImageWidth"), _number(tags, "QuickTime:ImageHeight", "Composite:ImageHeight")
+    fps = _number(tags, "QuickTime:VideoFrameRate", "Composite:VideoFrameRate")
+    stated = _number(tags, "Composite:AvgBitrate", "QuickTime:AvgBitrate")
+    worked_out = F.try_divide(_number(tags, "File:FileSize") * 8, F.nullif(_number(tags, "QuickTime:Duration"), F.lit(0.0)))
+    bits = F.try_divide(F.coalesce(stated, worked_out), width * height * fps)
+    kept = F.lower("folder").rlike("raw|source|edit|project")
+    tier = F.when(bits >= 2 * limit, "obscene").when(bits >= limit, "fat")
+    return _as_fields(media.where(~kept), {"Bloat": tier})

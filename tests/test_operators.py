@@ -193,8 +193,8 @@ def one(spark, *columns):
 
 
 def test_text_functions(spark):
-    assert one(spark, text.normalized_stem(F.lit("/x/IMG_1234(2)-Edited.JPG")), text.extension(F.lit("/x/a.b/C")), text.parent_dir(F.lit("a.jpg"))) == ("img_1234(2)", "", "")
-    assert one(spark, text.is_invented_cue(F.lit(" Thanks for\twatching!! ")), text.is_invented_cue(F.lit("♪ ♪")), text.is_invented_cue(F.lit("hello"))) == (True, False, False)
+    assert one(spark, text.normalized_stem(F.lit("/x/IMG_1234(2)-Edited.JPG")), text.extension(F.lit("/x/a.b/C")), text.parent_dir(F.lit("a.jpg"))) == ("img_1234", "", "")
+    assert one(spark, text.is_invented_cue(F.lit(" Thanks for\twatching!! ")), text.is_invented_cue(F.lit("♪ ♪")), text.is_invented_cue(F.lit("hello"))) == (True, True, False)
     looped = "go " * 6 + "home"
     assert one(spark, text.collapse_word_runs(F.lit(looped)), text.collapse_word_runs(F.lit("no,  no, no"))) == ("go home", "no,  no, no")
     assert one(spark, text.format_cue_time(F.lit(59.9996)), text.excerpt(F.lit("one two three"), 9)) == ("00:01:00,000", "one two…")
@@ -230,3 +230,34 @@ def test_perceptual_hash_and_word_ratio(spark):
     got = frame.select(media.perceptual_hash(F.col("p")).alias("h"), media.word_ratio(F.col("x"), F.col("y")).alias("r")).collect()
     assert got[0]["h"] & (2**64 - 1) == want and got[1]["h"] is None and got[2]["h"] is None
     assert got[0]["r"] == 0.667 and got[1]["r"] is None and got[2]["r"] == 1.0
+
+
+def test_siblings_and_bloat_rules(spark):
+    fix = lambda n: {"EXIF:DateTimeOriginal": f"2024:04:15 12:{n:02d}:00", "Composite:GPSLatitude": str(48 + n / 1000), "Composite:GPSLongitude": "-2.0"}
+    rows = [("/f", f"/f/{n}.jpg", fix(n), None, None) for n in range(0, 50, 10)]
+    rows += [("/f", "/f/lost.jpg", {"EXIF:DateTimeOriginal": "2024:04:15 12:11:00"}, None, None), ("/g", "/g/alone.jpg", {"EXIF:DateTimeOriginal": "2024:04:15 12:11:00"}, None, None)]
+    video = {"QuickTime:CompressorID": "avc1", "QuickTime:ImageWidth": "100", "QuickTime:ImageHeight": "100", "QuickTime:VideoFrameRate": "10"}
+    rows += [("/v", "/v/fat.mp4", {**video, "Composite:AvgBitrate": "20000"}, None, None), ("/v", "/v/worse.mp4", {**video, "File:FileSize": "50000", "QuickTime:Duration": "1"}, None, None)]
+    rows += [("/v/Edits", "/v/Edits/fat.mp4", {**video, "Composite:AvgBitrate": "20000"}, None, None), ("/v", "/v/odd.mp4", {**video, "QuickTime:Duration": "0"}, None, None)]
+    media_rows = spark.createDataFrame(rows, "folder string, path string, tags map<string,string>, notes_lat double, notes_lon double")
+    found = {(r, p, f): v for r, p, f, v in rows_of(rules.evaluate(media_rows), "rule", "path", "field", "value")}
+    assert found[("gps-from-siblings", "/f/lost.jpg", "GPSLatitude")] == "48.010000"
+    assert found[("bloat-candidate", "/v/fat.mp4", "Bloat")] == "fat" and found[("bloat-candidate", "/v/worse.mp4", "Bloat")] == "obscene"
+    assert not any(p in ("/g/alone.jpg", "/v/Edits/fat.mp4", "/v/odd.mp4") and r != "gps-anchor" for r, p, _ in found)
+
+
+def test_plans(spark):
+    from lumenfold.plans import catalog as plans
+
+    files = spark.createDataFrame([("a", 5, None), ("b", 6, "Z1"), ("c", 7, None), ("d", None, None)], "path string, local_s bigint, clip_zone string")
+    none = F.lit(None)
+    files = files.withColumns({"utc_s": none.cast("bigint"), "folder_zone": F.lit("ZF"), "override_zone": none.cast("string")})
+    library = spark.createDataFrame([("b", 2, False), ("c", 3, True)], "path string, id bigint, dated boolean")
+    assert rows_of(plans.date_plan(files, library), "path", "mode", "zone") == {("a", "insert", "ZF"), ("b", "update", "Z1")}
+    plan = plans.date_plan(files, library, retime=True)
+    dates_now = spark.createDataFrame([(2, None, "old"), (3, 1, "old"), (4, 9, None)], "id bigint, local_s bigint, zone string")
+    assert rows_of(plans.apply_date_plan(dates_now, plan)) == {(2, 6, "old", True), (3, 7, "ZF", True), (4, 9, None, False)}
+    with pytest.raises(ValueError):
+        plans.sweep_ids(dates_now, "id", 0.5, True, "merge")
+    with pytest.raises(ValueError):
+        plans.sweep_ids(dates_now, "id", 0.95, False, "keep_all")

@@ -92,7 +92,8 @@ def test_state_and_replay(spark):
 
 
 def test_streamed_sessions_equal_the_batch(spark, tmp_path):
-    rows = [("k", n, n * 600 + (50_000 if n > 20 else 0), 10.0 + 0.001 * n, 5.0) for n in range(40)] + [("k", 99, 900_000, 0.0, 0.0)]
+    start = 1_700_000_000
+    rows = [("k", n, start + n * 600 + (50_000 if n > 20 else 0), 10.0 + 0.001 * n, 5.0) for n in range(40)] + [("k", 99, start + 900_000, 0.0, 0.0)]
     batch = event_sweep(spark.createDataFrame(rows, "k string, id int, t bigint, lat double, lon double"), ["k"])
     want = {s for (s,) in rows_of(batch.groupBy("event").agg(F.count("id").alias("n")), "n")}
     source = tmp_path / "in"
