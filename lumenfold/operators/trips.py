@@ -5,7 +5,8 @@ the pings of one device spread over many tasks. Each span is read once in time
 order: repeated pings and lone wild fixes go, silences split it into sessions, and
 each session is simplified by time-synchronised Douglas-Peucker. Simplified
 segments of low speed are the stop candidates; an exact check grows or shrinks each
-to the longest run within the radius of its own centre. What lies between two stops
+to the longest run within the radius of its own centre, ping by ping: two pings on
+either side of a centre that neither is near to are no run. What lies between two stops
 of a session is a trip, with the length of its simplified path.
 
 A span is held in memory only up to CHUNK pings: beyond that it is closed at the last
@@ -20,6 +21,7 @@ nothing; repeated rows count once.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import hypot
 
 import numpy as np
 import pandas as pd
@@ -63,23 +65,42 @@ def simplify(t: np.ndarray, x: np.ndarray, y: np.ndarray, tolerance: float) -> l
     return sorted(set(kept))
 
 
+def _joined_runs(x: list[float], y: list[float], a: int, b: int, radius: float) -> Iterator[tuple[int, int]]:
+    """Runs of a..b in which every ping lies within ``radius`` of the centre of those before it."""
+    start, sx, sy = a, x[a], y[a]
+    for n in range(a + 1, b + 1):
+        size = n - start
+        if hypot(x[n] - sx / size, y[n] - sy / size) > radius:
+            yield start, n - 1
+            start, sx, sy = n, 0.0, 0.0
+        sx += x[n]
+        sy += y[n]
+    yield start, b
+
+
 def _longest_run(lat, lon, a: int, b: int, floor: int, radius: float) -> tuple[int, int]:
-    """Grows or shrinks the run a..b until it is the longest one within ``radius`` of its centre."""
+    """Grows or shrinks the run a..b until it is the longest one within ``radius`` of its centre.
+
+    A ping joins if it lies within the radius of the centre of the run as it is, and
+    the whole run still lies within the radius of its centre with it.
+    """
+
+    def away(low: int, high: int, of: slice | int):
+        return _metres(lat[of], lon[of], lat[low : high + 1].mean(), lon[low : high + 1].mean())
 
-    def far(low: int, high: int) -> float:
-        centre_lat, centre_lon = lat[low : high + 1].mean(), lon[low : high + 1].mean()
-        return _metres(lat[low : high + 1], lon[low : high + 1], centre_lat, centre_lon).max()
+    def fits(low: int, high: int) -> bool:
+        return away(low, high, slice(low, high + 1)).max() <= radius
 
-    while b > a and far(a, b) > radius:
+    while b > a and not fits(a, b):
         centre = np.median(lat[a : b + 1]), np.median(lon[a : b + 1])
         ends = _metres(lat[[a, b]], lon[[a, b]], *centre)
         a, b = (a + 1, b) if ends[0] >= ends[1] else (a, b - 1)
     grown = True
     while grown:
         grown = False
-        if b + 1 < len(lat) and far(a, b + 1) <= radius:
+        if b + 1 < len(lat) and away(a, b, b + 1) <= radius and fits(a, b + 1):
             b, grown = b + 1, True
-        if a > floor and far(a - 1, b) <= radius:
+        if a > floor and away(a, b, a - 1) <= radius and fits(a - 1, b):
             a, grown = a - 1, True
     return a, b
 
@@ -100,13 +121,15 @@ def stops_of(t, lat, lon, radius: float, least_s: float, tolerance: float, slow_
                     continue
             runs.append([a, b])
     stops: list[tuple[int, int]] = []
-    for a, b in runs:
-        floor = stops[-1][1] + 1 if stops else 0
-        if b <= floor:
-            continue
-        a, b = _longest_run(lat, lon, max(a, floor), b, floor, radius)
-        if t[b] - t[a] >= least_s:
-            stops.append((a, b))
+    flat_x, flat_y = x.tolist(), y.tolist()
+    for low, high in runs:
+        for a, b in _joined_runs(flat_x, flat_y, low, high, radius):
+            floor = stops[-1][1] + 1 if stops else 0
+            if b < floor:
+                continue
+            a, b = _longest_run(lat, lon, max(a, floor), b, floor, radius)
+            if t[b] - t[a] >= least_s:
+                stops.append((a, b))
     return stops, path, x, y
 
 

@@ -95,3 +95,9 @@ def test_long_spans_are_cut_at_long_steps_without_effect(spark, monkeypatch):
     assert {r[:4] for r in cut} == {r[:4] for r in rows} and len(rows) > 15
     for one, two in zip(sorted(rows), sorted(cut)):
         assert abs(one[4] - two[4]) <= 0.05 * max(one[4], 1)
+
+
+def test_a_silence_on_the_way_is_no_stop(spark):
+    pings = stay(0, 8, 300, 50.0) + [(2400 + k * 300 + (5000 if k > 2 else 0), 50.004 + k * 228 * DEG, 10.0) for k in range(6)]
+    pings += stay(10_000, 8, 300, 50.02, seed=3)
+    assert kinds(run(spark, pings)) == {("stop", 0, 2100), ("stop", 10_000, 12_100), ("trip", 2100, 10_000)}
