@@ -106,11 +106,13 @@ def near_sites(points: DataFrame, key: str, lat: str, lon: str, radius_m: float)
     """
     if radius_m <= 0:
         raise ValueError("radius_m must be positive")
+    scratch = Scratch(points.sparkSession, "near")
     fixes = points.select(F.col(key).alias("key"), F.col(lat).alias("lat"), F.col(lon).alias("lon")).where(
         F.col("key").isNotNull() & is_fix(F.col("lat"), F.col("lon"))
     )
-    sites = fixes.groupBy("lat", "lon").agg(F.min("key").alias("site"))
-    members = fixes.join(sites, ["lat", "lon"]).select("key", "site").distinct()
+    fixes = scratch.keep(fixes.distinct(), "fixes")
+    sites = scratch.keep(fixes.groupBy("lat", "lon").agg(F.min("key").alias("site")), "sites")
+    members = scratch.keep(fixes.join(sites, ["lat", "lon"]).select("key", "site").distinct(), "members")
     side = max(8.0 * radius_m, 2 * EARTH_M / (2**21 - 2))
     x, y, z = _axes(F.col("lat"), F.col("lon"))
     placed = sites.select("site", "lat", "lon", (x / side).alias("x"), (y / side).alias("y"), (z / side).alias("z"))
@@ -142,7 +144,6 @@ def near_pairs(points: DataFrame, key: str, lat: str, lon: str, radius_m: float)
     A key with several different fixes is near another if any of its fixes is.
     """
     members, links = near_sites(points, key, lat, lon, radius_m)
-    same = members.select(F.col("site").alias("site_a"), F.col("site").alias("site_b")).distinct()
     left = members.select(F.col("key").alias("one"), F.col("site").alias("site_a"))
     right = members.select(F.col("key").alias("other"), F.col("site").alias("site_b"))
     shared = members.groupBy("site").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("site")
