@@ -289,11 +289,20 @@ def points_in_regions(
     else both sides are shuffled by coarse cell, hot cells in blocks.
     """
     ranges = Scratch(points.sparkSession, "regions").keep(cover_regions(regions, region_key, ring), "ranges")
-    size = ranges.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.size("xs")), F.lit(0)).alias("corners")).first()
+    size = ranges.agg(
+        F.count(F.lit(1)).alias("n"),
+        F.coalesce(F.sum(F.size("xs")), F.lit(0)).alias("corners"),
+        F.min(F.array_min("xs")).alias("west"),
+        F.max(F.array_max("xs")).alias("east"),
+        F.min(F.array_min("ys")).alias("south"),
+        F.max(F.array_max("ys")).alias("north"),
+    ).first()
     fixes = points.select(F.col(key).alias("key"), F.col(lat).alias("lat"), F.col(lon).alias("lon")).where(
         F.col("key").isNotNull() & is_fix(F.col("lat"), F.col("lon"))
     )
     turned = fixes.select("key", "lat", F.explode(F.array(F.col("lon"), F.col("lon") - 360, F.col("lon") + 360)).alias("lon"))
+    # Outside the box of all rings nothing is coded; most turned points fall there.
+    turned = turned.where(F.col("lon").between(size["west"], size["east"]) & F.col("lat").between(size["south"], size["north"]))
     cx, cy = _code_axes(F.col("lat"), F.col("lon"))
     coded = turned.withColumn("code", morton2(cx, cy)).withColumn(
         "coarse", F.shiftright("code", 2 * (_BITS - _COARSE))
