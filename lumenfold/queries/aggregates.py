@@ -185,7 +185,7 @@ def plurality_zone(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "cluster_min_scores",
     """WITH m AS (SELECT DISTINCT m.cluster_id, m.asset_id, e.vec::DOUBLE[] AS vec FROM members m JOIN ledger l ON l.id = m.asset_id
-           LEFT JOIN (SELECT DISTINCT asset_id, model, vec FROM asset_embedding WHERE model = 'clip-b32-immy' AND vec IS NOT NULL) e ON e.asset_id = m.asset_id),
+           LEFT JOIN (SELECT DISTINCT asset_id, model, vec FROM asset_embedding WHERE model LIKE 'clip-b32-%' AND model NOT LIKE '%-legacy' AND vec IS NOT NULL) e ON e.asset_id = m.asset_id),
        w AS (SELECT cluster_id, min(asset_id) AS head, count(*) AS n, count(vec) AS k FROM m GROUP BY 1),
        s AS (SELECT a.cluster_id, min(list_cosine_similarity(a.vec, b.vec)) AS cosine FROM m a JOIN w ON w.cluster_id = a.cluster_id AND w.n = w.k AND w.n >= 2
            JOIN m b ON b.cluster_id = a.cluster_id AND b.asset_id = w.head WHERE a.asset_id <> w.head
@@ -195,7 +195,7 @@ def plurality_zone(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def cluster_min_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Least cosine to the first member; void for the whole cluster if any vector is missing."""
-    vectors = table(spark, sf_dir, "asset_embedding").where("model = 'clip-b32-immy' and vec is not null").select("asset_id", "vec").distinct()
+    vectors = table(spark, sf_dir, "asset_embedding").where("model like 'clip-b32-%' and model not like '%-legacy' and vec is not null").select("asset_id", "vec").distinct()
     known = table(spark, sf_dir, "asset").select(F.col("id").alias("asset_id")).distinct()
     rows = members(spark, sf_dir).join(known, "asset_id").join(vectors, "asset_id", "left").distinct()
     heads = rows.groupBy("cluster_id").agg(

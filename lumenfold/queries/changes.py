@@ -222,13 +222,14 @@ def registered_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "work_due",
-    """SELECT DISTINCT id AS key FROM asset WHERE id NOT IN (SELECT asset_id FROM asset_embedding WHERE model = 'clip-b32-immy')""",
+    """SELECT DISTINCT id AS key FROM asset WHERE id NOT IN (SELECT asset_id FROM asset_embedding WHERE model LIKE 'clip-b32-%' AND model NOT LIKE '%-legacy')""",
 )
 def work_due(spark: SparkSession, sf_dir: str) -> DataFrame:
     state = table(spark, sf_dir, "asset_embedding").select(
-        F.col("asset_id").alias("key"), F.lit("embed").alias("worker"), F.col("model").alias("version")
+        F.col("asset_id").alias("key"), F.lit("embed").alias("worker"),
+        F.when(F.col("model").startswith("clip-b32-") & ~F.col("model").endswith("-legacy"), "current").otherwise("old").alias("version"),
     )
-    return jobs.work_due(table(spark, sf_dir, "asset").select(F.col("id").alias("key")).distinct(), state, "embed", "clip-b32-immy")
+    return jobs.work_due(table(spark, sf_dir, "asset").select(F.col("id").alias("key")).distinct(), state, "embed", "current")
 
 
 @query(
