@@ -73,6 +73,13 @@ QUERIES = {
 }
 
 SQL: dict[str, str] = {
+    "p8_found": """
+        WITH d AS (SELECT DISTINCT doc_id, list_filter(regexp_split_to_array(lower(nfc_normalize(text)), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS w FROM documents),
+        i AS (SELECT DISTINCT item_id, list_filter(regexp_split_to_array(lower(nfc_normalize(text)), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS w FROM eval_item),
+        dk AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w) - 10), lambda n: array_to_string(w[n:n + 11], ' '))) AS k FROM d WHERE len(w) >= 12),
+        ik AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, len(w) - 10), lambda n: array_to_string(w[n:n + 11], ' '))) AS k FROM i WHERE len(w) >= 12)
+        SELECT DISTINCT doc_id, item_id FROM dk JOIN ik USING (k)
+    """,
     "p3_found": """
         WITH RECURSIVE ledger AS (SELECT DISTINCT id, phash FROM asset),
         member AS (SELECT DISTINCT m.cluster_id, m.asset_id FROM membership m JOIN ledger l ON l.id = m.asset_id),
