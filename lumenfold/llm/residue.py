@@ -2,10 +2,12 @@
 
 Three models of hashed character n-grams are fitted: filler and template slots, and
 server or browser notices, from the fixed examples below; natural prose from the
-n-gram counts of all documents. Every document is scored by the log-likelihood
-ratio of residue against prose; windows above a threshold localise the suspects. A
-window counts only if a residue shape stands in it and is not talked about. What
-the windows cover, as a share of the text, is the coverage to exclude by.
+n-gram counts of all documents, without the n-grams that touch a residue shape, so
+that residue which many documents repeat does not become prose. Every document is
+scored by the log-likelihood ratio of residue against prose; windows above a
+threshold localise the suspects. A residue shape counts if it stands in or next to
+such a window, or its own n-grams lie above the threshold, and it is not talked
+about. What the shapes cover, as a share of the text, is the coverage to exclude by.
 
 Defined results: null and empty texts hold no residue; repeated texts are judged
 alike; texts of any length are scored whole.
@@ -19,6 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -140,6 +143,23 @@ _SHAPES = re.compile(
 )
 
 
+def _loosened(shape: str) -> str:
+    """The shape for RE2: without look-arounds, word edges and upper bounds, so it matches wherever the shape does."""
+    loose = re.sub(r"\(\?<?[!=][^()]*\)", "", shape).replace(r"\b", "").replace(" *$", "")
+    loose = re.sub(r"(?<!\\)\[(?:\\.|[^\]\\])*\]", lambda m: r"[^\n]" if r"\w" in m[0] else m[0], loose)
+    loose = loose.replace(r"\w", r"[^\n]")
+    return re.sub(r"\{(\d),\d+\}", lambda m: "*" if m[1] == "0" else "+", loose)
+
+
+#: Matches every text that holds a shape, and few others; one pass of an automaton.
+_ANY_SHAPE = "|".join(_loosened(shape) for shape in (*_SLOTS, *_FILLER, *_NOTICES))
+
+
+def may_hold_shapes(folded: list[str]) -> list[bool]:
+    """False for folded texts that hold no shape for certain."""
+    return pc.match_substring_regex(pa.array(folded, pa.large_string()), _ANY_SHAPE).to_pylist()
+
+
 def fold(text: str) -> str:
     """Lower case, every digit a 9, line breaks kept, other spacing made one blank."""
     return re.sub(r"[^\S\n]+", " ", re.sub(r"\d", "9", text.casefold().replace("’", "'")))
@@ -156,17 +176,29 @@ def ngram_buckets(folded: str) -> np.ndarray:
     return ((mixed * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - 17)).astype("i8")
 
 
+def _touching(start: int, end: int) -> slice:
+    """The n-grams that touch a span."""
+    return slice(max(0, start - ORDER + 1), end)
+
+
 def prose_counts(documents: DataFrame, text: str) -> np.ndarray:
-    """n-gram counts of all documents; BUCKETS numbers, whatever the corpus."""
+    """n-gram counts of all documents outside residue shapes; BUCKETS numbers, whatever the corpus."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(BUCKETS, "i8")
         for batch in batches:
-            for body in batch.column(0).to_pylist():
-                if body:
-                    total += np.bincount(ngram_buckets(fold(body)), minlength=BUCKETS) if len(body) > 1 << 16 else 0
-                    if len(body) <= 1 << 16:
-                        np.add.at(total, ngram_buckets(fold(body)), 1)
+            texts = [fold(body) for body in batch.column(0).to_pylist() if body]
+            for folded, maybe in zip(texts, may_hold_shapes(texts)):
+                grams = ngram_buckets(folded)
+                if maybe:
+                    prose = np.ones(len(grams), bool)
+                    for hit in _SHAPES.finditer(folded):
+                        prose[_touching(*hit.span())] = False
+                    grams = grams[prose]
+                if len(folded) > 1 << 16:
+                    total += np.bincount(grams, minlength=BUCKETS)
+                else:
+                    np.add.at(total, grams, 1)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["bucket", "n"])
 
@@ -209,22 +241,24 @@ def windows(folded: str, ratios: np.ndarray, threshold: float) -> list[tuple[int
 
 
 def judge(text: str, ratios: np.ndarray, threshold: float, margin: int = 60) -> list[tuple[str, int, int]]:
-    """(kind, start, end) of every residue shape in or next to a suspect window."""
+    """(kind, start, end) of every residue shape that scores high itself or stands in or next to a suspect window."""
     folded = fold(text)
-    suspects = windows(folded, ratios, threshold)
-    if not suspects:
+    hits = list(_SHAPES.finditer(folded))
+    if not hits:
         return []
+    scores = ratios[ngram_buckets(folded)]
+    suspects = windows(folded, ratios, threshold)
     logs = [m.span() for m in _LOG_LINE.finditer(folded)]
-    found, done = [], -1
-    for low, high in suspects:
-        for hit in _SHAPES.finditer(folded, max(0, low - margin), high + margin):
-            start, end = hit.span()
-            if start <= done or any(a <= start < b for a, b in logs):
-                continue
-            if _TALK.search(folded[max(0, start - 60) : start]):
-                continue
-            done = start
-            found.append((hit.lastgroup, start, end))
+    found = []
+    for hit in hits:
+        start, end = hit.span()
+        own = scores[_touching(start, end)]
+        near = any(start < high + margin and end > low - margin for low, high in suspects)
+        if not near and not (len(own) and own.mean() > threshold):
+            continue
+        if any(a <= start < b for a, b in logs) or _TALK.search(folded[max(0, start - 60) : start]):
+            continue
+        found.append((hit.lastgroup, start, end))
     return found
 
 
@@ -243,8 +277,9 @@ def find_residue(
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for number, body in zip(batch["doc_id"], batch["text"]):
-                found = judge(body, shared.value, threshold) if body else []
+            maybe = may_hold_shapes([fold(body) for body in batch["text"]])
+            for number, body, shaped in zip(batch["doc_id"], batch["text"], maybe):
+                found = judge(body, shared.value, threshold) if shaped else []
                 if found:
                     covered = sum(end - start for _, start, end in found) / max(1, len(body))
                     rows.append((number, sorted({k for k, _, _ in found}), min(1.0, covered)))

@@ -1,7 +1,18 @@
 import numpy as np
 from conftest import rows_of
 
-from lumenfold.llm.residue import BUCKETS, exclude_residue, find_residue, fit_ratios, fold, judge, ngram_buckets, windows
+from lumenfold.llm.residue import (
+    _SHAPES,
+    BUCKETS,
+    exclude_residue,
+    find_residue,
+    fit_ratios,
+    fold,
+    judge,
+    may_hold_shapes,
+    ngram_buckets,
+    windows,
+)
 
 DOCS = "doc_id bigint, text string, kinds string"
 PROSE = [
@@ -67,3 +78,20 @@ def test_windows_localise():
     spans = windows(text, ratios, 1.0)
     assert spans and any("ipsum" in text[a:b] for a, b in spans) and sum(b - a for a, b in spans) < len(text) / 2
     assert judge(PROSE[0], ratios, -0.5) == []
+
+
+def test_repeated_residue_is_found(spark):
+    repeated = ["{{name}} visited {{place}} on {{date}}", "404 Not Found", "Your session has expired. Log in again.", "Lorem ipsum dolor sit amet"]
+    repeated += ["Hi $name$, the lake was calm today", "Dear @@d@@ and all of the family"]
+    prose = [(n, f"{PROSE[n % 4]} {PROSE[(n * 7 + 1) % 4]}", "x") for n in range(400)]
+    for text in repeated:
+        rows = prose + [(1000 + n, text, "x") for n in range(200)] + [(5000 + n, t, "x") for n, t in enumerate(TALK * 20)]
+        found = {d for (d,) in rows_of(find_residue(spark.createDataFrame(rows, DOCS)), "doc_id")}
+        assert found == set(range(1000, 1200)), text
+
+
+def test_loosened_shapes_miss_none():
+    folded = [fold(t) for t in [*RESIDUE, *TALK, *PROSE, "asdfé asdf, asdf asdf asdf", "needs javascript\n"]]
+    maybe = may_hold_shapes(folded)
+    assert [bool(_SHAPES.search(t)) for t in folded] == [m and bool(_SHAPES.search(t)) for t, m in zip(folded, maybe)]
+    assert not any(may_hold_shapes([fold(t) for t in PROSE]))
