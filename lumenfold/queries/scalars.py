@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import dates, geo, hashing, maps, media, text
-from ..session import table
+from ..session import Scratch, table
 from .registry import ledger, query
 
 
@@ -78,17 +78,24 @@ def collapsed_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("word_ratios")
 def word_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Word similarity of each caption and the next one (no SQL: Ratcliff-Obershelp)."""
-    docs = table(spark, sf_dir, "documents").where("source = 'caption'").select("doc_id", "text")
-    order = F.row_number().over(_by_id())
-    one = docs.select("doc_id", "text", order.alias("n"))
-    two = one.select((F.col("n") - 1).alias("n"), F.col("text").alias("other"))
-    return one.join(two, "n").select("doc_id", media.word_ratio(F.lower("text"), F.lower("other")).alias("ratio"))
-
-
-def _by_id():
-    from pyspark.sql import Window
-
-    return Window.partitionBy(F.floor(F.col("doc_id") / 1000)).orderBy("doc_id")
+    docs = table(spark, sf_dir, "documents").where("lower(trim(source)) = 'caption' and doc_id is not null")
+    pairs = _with_next(docs.select("doc_id", "text").distinct())
+    return pairs.select("doc_id", media.word_ratio(F.lower("text"), F.lower("next.text")).alias("ratio"))
+
+
+def _with_next(docs: DataFrame) -> DataFrame:
+    """doc_id, text, next of every row but the last, in order of doc_id; no window runs over the table.
+
+    The rows are cut into ranges of doc_id; the last row of a range gets the first row of the following range.
+    """
+    blocks = docs.repartitionByRange("doc_id").withColumn("block", F.spark_partition_id())
+    rows = Scratch(docs.sparkSession, "ordered").keep(blocks, "blocks")
+    one = F.struct("doc_id", "text")
+    inside = rows.withColumn("next", F.lead(one).over(Window.partitionBy("block").orderBy("doc_id", "text")))
+    firsts = rows.groupBy("block").agg(F.min(one).alias("first"))
+    carried = firsts.select("block", F.lead("first").over(Window.partitionBy().orderBy("block")).alias("carried"))
+    joined = inside.join(F.broadcast(carried), "block").withColumn("next", F.coalesce("next", "carried"))
+    return joined.where("next is not null").select("doc_id", "text", "next")
 
 
 @query(
