@@ -7,7 +7,10 @@ that residue which many documents repeat does not become prose. Every document i
 scored by the log-likelihood ratio of residue against prose; windows above a
 threshold localise the suspects. A residue shape counts if it stands in or next to
 such a window, or its own n-grams lie above the threshold, and it is not talked
-about. What the shapes cover, as a share of the text, is the coverage to exclude by.
+about. A window away from every shape reports by itself if it lies above a higher
+threshold and nearly all its n-grams stand in the examples, so that merely rare text
+is none. What shapes and such windows cover, as a share of the text, is the coverage
+to exclude by.
 
 Defined results: null and empty texts hold no residue; repeated texts are judged
 alike; texts of any length are scored whole.
@@ -17,6 +20,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -29,6 +33,9 @@ from pyspark.sql import functions as F
 ORDER = 4
 BUCKETS = 1 << 17
 WINDOW = 16
+#: Score above which a window reports by itself, and the share of its n-grams that must stand in the examples.
+SURE = 4.5
+SURE_KNOWN = 0.9
 
 #: Fixed examples of filler and of template slots left without a value.
 FILLER_EXAMPLES = (
@@ -70,7 +77,7 @@ NOTICE_EXAMPLES = (
 #: Fixed shapes of residue, on the folded text. Slots may be named by one to three words.
 _SLOTS = (
     r"\{\{[^{}\n]{1,40}\}\}",
-    r"\$\{\w{1,40}\}",
+    r"\$\{\w[\w.\- ]{0,40}\}",
     r"<%[^%\n]{1,60}%>",
     r"\{%[^%\n]{1,60}%\}",
     r"\[\[\w[\w ]{0,40}\]\]",
@@ -78,6 +85,10 @@ _SLOTS = (
     r"@@\w{1,40}@@",
     r"__[a-z]\w{0,38}__",
     r"(?<![\w%])%[a-z_]{2,40}%(?![\w%])",
+    r"%%[a-z_][a-z_ ]{1,40}%%",
+    r"(?<![^\s\"'])%[sd](?![\w%/:\-]|\.%)",
+    r"(?<![\w#])#[a-z_]{2,40}#(?![\w#])",
+    r"(?<![\w#])##[a-z_]{2,40}##(?![\w#])",
     r"(?<![\w$])\$[a-z_]{2,40}\$(?![\w$])",
     r"<your_\w{1,40}>",
     r"[\[<(]insert [\w ]{1,40}[\])>]",
@@ -86,6 +97,8 @@ _SLOTS = (
     r"\(\w[\w ]{0,40} tbd\)",
     r"\[object object\]",
     r"(?<![\w/.{])\{[a-z_]{2,40}\}(?![\w/{])",
+    r"(?<![\w/.{\\])\{[a-z_]{1,20}(?:[ .\-][a-z_]{1,20}){1,3}\}(?![\w/{])",
+    r"(?<![\w/.{\\\)\]])\{9{1,2}\}(?![\w/{])",
     r"\bundefined\b",
 )
 _FILLER = (
@@ -106,6 +119,8 @@ _NOTICES = (
     r"<title>9{3}\b",
     r"\b(?:internal server error|bad gateway|gateway time-?out)\b",
     r"\bnot found on this server\b",
+    r"\bpage not found\b",
+    r"(?<![\w,;:] )(?<![\w,;:])something went wrong(?= *[.!]| *$)",
     r"\bno longer available\b.{0,12}\b(?:the owner|removed|link)\b",
     r"\bcontent is no longer available\b",
     r"\baccess denied\b",
@@ -145,7 +160,7 @@ _SHAPES = re.compile(
 
 def _loosened(shape: str) -> str:
     """The shape for RE2: without look-arounds, word edges and upper bounds, so it matches wherever the shape does."""
-    loose = re.sub(r"\(\?<?[!=][^()]*\)", "", shape).replace(r"\b", "").replace(" *$", "")
+    loose = re.sub(r"\(\?<?[!=](?:\\.|[^()\\])*\)", "", shape).replace(r"\b", "").replace(" *$", "")
     loose = re.sub(r"(?<!\\)\[(?:\\.|[^\]\\])*\]", lambda m: r"[^\n]" if r"\w" in m[0] else m[0], loose)
     loose = loose.replace(r"\w", r"[^\n]")
     return re.sub(r"\{(\d),\d+\}", lambda m: "*" if m[1] == "0" else "+", loose)
@@ -176,13 +191,41 @@ def ngram_buckets(folded: str) -> np.ndarray:
     return ((mixed * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - 17)).astype("i8")
 
 
+@lru_cache(maxsize=1)
+def known_ngrams() -> np.ndarray:
+    """Whether each n-gram stands in the examples of filler, and of notices."""
+    known = np.zeros((2, BUCKETS), bool)
+    for model, examples in zip(known, (FILLER_EXAMPLES, NOTICE_EXAMPLES)):
+        for example in examples:
+            model[ngram_buckets(fold(example))] = True
+    return known
+
+
+@lru_cache(maxsize=1)
+def known_to_either() -> np.ndarray:
+    return known_ngrams().any(axis=0)
+
+
+def _known_lines(folded: str, grams: np.ndarray) -> Iterator[slice]:
+    """The n-grams of each line that consists of examples."""
+    known = known_to_either()[grams]
+    if np.count_nonzero(known) < ORDER:
+        return
+    start = 0
+    for line in folded.split("\n"):
+        inside = known[start : max(start, start + len(line) - ORDER + 1)]
+        if len(inside) and inside.mean() >= SURE_KNOWN:
+            yield slice(max(0, start - ORDER + 1), start + len(line))
+        start += len(line) + 1
+
+
 def _touching(start: int, end: int) -> slice:
     """The n-grams that touch a span."""
     return slice(max(0, start - ORDER + 1), end)
 
 
 def prose_counts(documents: DataFrame, text: str) -> np.ndarray:
-    """n-gram counts of all documents outside residue shapes; BUCKETS numbers, whatever the corpus."""
+    """n-gram counts of all documents outside residue shapes and lines of examples; BUCKETS numbers, whatever the corpus."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(BUCKETS, "i8")
@@ -190,10 +233,13 @@ def prose_counts(documents: DataFrame, text: str) -> np.ndarray:
             texts = [fold(body) for body in batch.column(0).to_pylist() if body]
             for folded, maybe in zip(texts, may_hold_shapes(texts)):
                 grams = ngram_buckets(folded)
+                left_out = list(_known_lines(folded, grams))
                 if maybe:
+                    left_out += [_touching(*hit.span()) for hit in _SHAPES.finditer(folded)]
+                if left_out:
                     prose = np.ones(len(grams), bool)
-                    for hit in _SHAPES.finditer(folded):
-                        prose[_touching(*hit.span())] = False
+                    for part in left_out:
+                        prose[part] = False
                     grams = grams[prose]
                 if len(folded) > 1 << 16:
                     total += np.bincount(grams, minlength=BUCKETS)
@@ -240,11 +286,48 @@ def windows(folded: str, ratios: np.ndarray, threshold: float) -> list[tuple[int
     ]
 
 
+def sure_windows(folded: str, ratios: np.ndarray) -> list[tuple[str, int, int]]:
+    """(kind, start, end) of the spans whose windows are residue without a shape."""
+    grams = ngram_buckets(folded)
+    if not len(grams):
+        return []
+    either = known_to_either()[grams]
+    width = min(WINDOW, len(grams))
+
+    def means(values: np.ndarray) -> np.ndarray:
+        sums = np.concatenate([[0.0], np.cumsum(values, dtype="f8")])
+        return (sums[width:] - sums[:-width]) / width
+
+    if np.count_nonzero(either) < SURE_KNOWN * width:
+        return []
+    high = np.flatnonzero(means(either) >= SURE_KNOWN)
+    if len(high):
+        high = high[means(ratios[grams])[high] > SURE]
+    if not len(high):
+        return []
+    out = []
+    for part in np.split(high, np.flatnonzero(np.diff(high) > width) + 1):
+        low, last = int(part[0]), int(part[-1]) + width
+        inside = np.flatnonzero(either[low:last])
+        start, end = low + int(inside[0]), low + int(inside[-1]) + ORDER
+        start += len(folded[start:end]) - len(folded[start:end].lstrip())
+        filler, notice = known_ngrams()[:, grams[low:last]].sum(axis=1)
+        kind = "notice" if notice > filler else "slot" if re.search(r"[{}<>\[$%@#]", folded[start:end]) else "filler"
+        out.append((kind, start, end))
+    return out
+
+
 def judge(text: str, ratios: np.ndarray, threshold: float, margin: int = 60) -> list[tuple[str, int, int]]:
-    """(kind, start, end) of every residue shape that scores high itself or stands in or next to a suspect window."""
+    """(kind, start, end) of every residue shape that scores high itself or stands in or next to a suspect window,
+    and of every sure window away from shapes."""
     folded = fold(text)
     hits = list(_SHAPES.finditer(folded))
-    if not hits:
+    sure = [
+        (kind, start, end)
+        for kind, start, end in sure_windows(folded, ratios)
+        if not any(hit.start() < end + margin and hit.end() > start - margin for hit in hits)
+    ]
+    if not hits and not sure:
         return []
     scores = ratios[ngram_buckets(folded)]
     suspects = windows(folded, ratios, threshold)
@@ -254,12 +337,16 @@ def judge(text: str, ratios: np.ndarray, threshold: float, margin: int = 60) ->
         start, end = hit.span()
         own = scores[_touching(start, end)]
         near = any(start < high + margin and end > low - margin for low, high in suspects)
-        if not near and not (len(own) and own.mean() > threshold):
-            continue
-        if any(a <= start < b for a, b in logs) or _TALK.search(folded[max(0, start - 60) : start]):
-            continue
-        found.append((hit.lastgroup, start, end))
-    return found
+        if near or (len(own) and own.mean() > threshold):
+            found.append((hit.lastgroup, start, end))
+    return sorted(
+        (
+            (kind, start, end)
+            for kind, start, end in found + sure
+            if not any(a <= start < b for a, b in logs) and not _TALK.search(folded[max(0, start - 60) : start])
+        ),
+        key=lambda one: one[1],
+    )
 
 
 def find_residue(
@@ -277,9 +364,10 @@ def find_residue(
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            maybe = may_hold_shapes([fold(body) for body in batch["text"]])
-            for number, body, shaped in zip(batch["doc_id"], batch["text"], maybe):
-                found = judge(body, shared.value, threshold) if shaped else []
+            texts = [fold(body) for body in batch["text"]]
+            for number, body, folded, shaped in zip(batch["doc_id"], batch["text"], texts, may_hold_shapes(texts)):
+                suspect = shaped or sure_windows(folded, shared.value)
+                found = judge(body, shared.value, threshold) if suspect else []
                 if found:
                     covered = sum(end - start for _, start, end in found) / max(1, len(body))
                     rows.append((number, sorted({k for k, _, _ in found}), min(1.0, covered)))

@@ -95,3 +95,15 @@ def test_loosened_shapes_miss_none():
     maybe = may_hold_shapes(folded)
     assert [bool(_SHAPES.search(t)) for t in folded] == [m and bool(_SHAPES.search(t)) for t, m in zip(folded, maybe)]
     assert not any(may_hold_shapes([fold(t) for t in PROSE]))
+
+
+def test_residue_without_a_fixed_shape(spark):
+    bare = ["Text to be added.", "Description coming soon.", "Error interno del servidor.", "Insert text here.", "Page not found."]
+    bare += ["Something went wrong.", "Duis aute irure dolor in reprehenderit in voluptate velit.", "Hi ${user.name}, welcome back to the lake."]
+    bare += ["Photo {0} of {1} at the pier", "Dear {first name}, we had lunch by the river.", "By %%NAME%% at the mill", "By #name# at the mill", "The ##title## of the walk", "Seen by %s at the river"]
+    talk = ["The regex was \\d{4} and the date was set with %d/%m/%Y in the menu.", "The guide said page not found, and we laughed.", "We knew something went wrong with the battery.", "Файлы лежат в папке, и всё хорошо."]
+    rows = [(n, f"{PROSE[n % 4]} {PROSE[(n * 7 + 1) % 4]}", "x") for n in range(400)]
+    rows += [(1000 + n, t, "x") for n, t in enumerate(bare)] + [(2000 + n, t, "x") for n, t in enumerate(TALK + talk)]
+    rows += [(3000 + n, "Text to be added.", "x") for n in range(200)]
+    found = {d for (d,) in rows_of(find_residue(spark.createDataFrame(rows, DOCS)), "doc_id")}
+    assert found == {1000 + n for n in range(len(bare))} | set(range(3000, 3200))
