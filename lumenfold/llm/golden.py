@@ -2,14 +2,15 @@
 
 Each record of a group is a point of several policy dimensions. Records that no
 other beats in every dimension form the first dominance layer, those left after
-taking it away the second, and so on; beyond MOST_LAYERS the rest is one last
-layer. The lexicographic policy picks the survivor from the first layer, and each
-field that the survivor lacks comes from the first record, in order of layer and
-policy, that has it.
+taking it away the second, and so on. The lexicographic policy picks the survivor
+from the first layer, and each field that the survivor lacks comes from the first
+record, in order of layer and policy, that has it.
 
 Groups are read in policy order, in which dominators come first, so one pass gives
 the layers. A group of more than HOT_GROUP records is cut into chunks whose own
-first layers are found side by side; only those meet in one task, layer by layer.
+first layers are found side by side; only those meet in one task. It is peeled on,
+twice as many layers each time, while a wanted field that a record left has is still
+null in the layers taken, so the layer used is always the true one.
 
 Defined results: null dimensions rank lowest; equal records share a layer and rank
 by smaller id; a group without a record has no survivor (null); repeated rows count
@@ -26,6 +27,7 @@ from pyspark.sql import functions as F
 
 from ..session import Scratch
 
+#: Layers told apart by ``dominance_layers`` unless more are asked for, and layers of the first peeling.
 MOST_LAYERS = 4
 #: Records of a group beyond which it is layered in chunks.
 HOT_GROUP = 5_000
@@ -42,8 +44,8 @@ def _beats(one: tuple, other: tuple) -> bool:
     return one != other and all(x >= y for x, y in zip(one, other))
 
 
-def layers_in_order(points: list[tuple], most: int) -> list[int]:
-    """Layer (from 1) of each point of a list that is sorted best first."""
+def layers_in_order(points: list[tuple], most: int | None = None) -> list[int]:
+    """Layer (from 1) of each point of a list that is sorted best first; all from ``most`` on are one layer."""
     fronts: list[list[tuple]] = []
     out = []
     previous: tuple | None = None
@@ -52,18 +54,23 @@ def layers_in_order(points: list[tuple], most: int) -> list[int]:
             out.append(out[-1])
             continue
         previous = point
-        layer = 0
-        while layer < len(fronts) and any(_beats(front, point) for front in reversed(fronts[layer])):
-            layer += 1
-        if layer == len(fronts) and layer < most - 1:
+        # What a layer beats, every layer before it beats too.
+        layer, beyond = 0, len(fronts)
+        while layer < beyond:
+            middle = (layer + beyond) // 2
+            if any(_beats(front, point) for front in reversed(fronts[middle])):
+                layer = middle + 1
+            else:
+                beyond = middle
+        if layer == len(fronts) and (most is None or layer < most - 1):
             fronts.append([])
-        if layer < most - 1:
+        if layer < len(fronts):
             fronts[layer].append(point)
-        out.append(min(layer, most - 1) + 1)
+        out.append(layer + 1)
     return out
 
 
-def _layered(rows: DataFrame, by: list[str], most: int) -> DataFrame:
+def _layered(rows: DataFrame, by: list[str], most: int | None) -> DataFrame:
     """grp, id, layer, place: layers within each ``by``; place counts in policy order."""
     kind = dict(rows.dtypes)["grp"]
     order = [*by, F.desc("dims"), F.asc("id")]
@@ -112,9 +119,18 @@ def _layered(rows: DataFrame, by: list[str], most: int) -> DataFrame:
     return placed.mapInArrow(scan, f"grp {kind}, id bigint, layer int, place bigint")
 
 
-def dominance_layers(rows: DataFrame, most: int = MOST_LAYERS, hot_group: int = HOT_GROUP) -> DataFrame:
-    """grp, id, layer, place of rows (grp, id, dims ARRAY<BIGINT>, larger is better)."""
-    rows = rows.select("grp", "id", "dims").distinct()
+def dominance_layers(
+    rows: DataFrame, most: int | None = MOST_LAYERS, hot_group: int = HOT_GROUP, wanted: tuple[str, ...] = ()
+) -> DataFrame:
+    """grp, id, layer, place of rows (grp, id, dims ARRAY<BIGINT>, larger is better).
+
+    All from layer ``most`` on are one layer. If it is None, groups have all their
+    layers, and hot groups all up to where no column of ``wanted`` that is null in the
+    layers so far has a value in the rest; that rest is one layer.
+    """
+    flags = [f"has_{n}" for n in range(len(wanted))]
+    has = [F.max(F.col(w).isNotNull()).alias(f) for w, f in zip(wanted, flags)]
+    rows = rows.groupBy("grp", "id", "dims").agg(*has) if has else rows.select("grp", "id", "dims").distinct()
     sizes = rows.groupBy("grp").count().where(F.col("count") > hot_group)
     hot = sizes.select("grp", F.ceil(F.col("count") / hot_group).cast("int").alias("chunks"))
     found = hot.take(HOT_GROUPS_BROADCAST + 1)
@@ -127,13 +143,35 @@ def dominance_layers(rows: DataFrame, most: int = MOST_LAYERS, hot_group: int =
     rest = rows.join(hot, "grp").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
     rest = scratch.keep(rest, "hot")
     out = []
-    for layer in range(1, most):
-        chunk_best = _layered(rest, ["grp", "chunk"], 2).where("layer = 1").select("grp", "id")
+    taken, step = 0, MOST_LAYERS
+    filled = None
+    while most is None or taken < most - 1:
+        # A record of the group's first layers is in the first layers of its chunk, and so are all that beat it.
+        step = step if most is None else min(step, most - 1 - taken)
+        chunk_best = _layered(rest, ["grp", "chunk"], step + 1).where(F.col("layer") <= step).select("grp", "id")
         met = rest.join(chunk_best, ["grp", "id"], "left_semi")
-        front = scratch.keep(_layered(met, ["grp"], 2).where("layer = 1").select("grp", "id"), "front")
-        out.append(rest.join(front, ["grp", "id"], "left_semi").select("grp", "id", "dims", F.lit(layer).alias("layer")))
+        layers = _layered(met, ["grp"], step + 1).where(F.col("layer") <= step).select("grp", "id", "layer")
+        front = scratch.keep(rest.join(layers.distinct(), ["grp", "id"]), "front")
+        out.append(front.select("grp", "id", (F.col("layer") + taken).alias("layer")))
         rest = scratch.keep(rest.join(front, ["grp", "id"], "left_anti"), "hot")
-    out.append(rest.select("grp", "id", "dims", F.lit(most).alias("layer")))
+        taken, step = taken + step, 2 * step
+        if most is not None:
+            continue
+        if not flags:
+            break
+        has = front.groupBy("grp").agg(*(F.max(f).alias(f) for f in flags))
+        if filled is not None:
+            has = filled.unionByName(has).groupBy("grp").agg(*(F.max(f).alias(f) for f in flags))
+        filled = scratch.keep(has, "filled")
+        lacking = filled.select("grp", *(F.col(f).alias(f"old_{f}") for f in flags))
+        helps = " or ".join(f"({f} and not old_{f})" for f in flags)
+        open_groups = scratch.keep(rest.join(lacking, "grp").where(helps).select("grp").distinct(), "open")
+        closed = rest.join(open_groups, "grp", "left_anti")
+        out.append(closed.select("grp", "id", F.lit(taken + 1).alias("layer")))
+        rest = scratch.keep(rest.join(open_groups, "grp", "left_semi"), "hot")
+        if rest.isEmpty():
+            break
+    out.append(rest.select("grp", "id", F.lit(taken + 1).alias("layer")))
     whole = out[0]
     for part in out[1:]:
         whole = whole.unionByName(part)
@@ -164,7 +202,11 @@ def policy_dims(records: DataFrame) -> Column:
 
 
 def golden_records(
-    clusters: DataFrame, membership: DataFrame, records: DataFrame, fields: tuple[str, ...] = ()
+    clusters: DataFrame,
+    membership: DataFrame,
+    records: DataFrame,
+    fields: tuple[str, ...] = (),
+    hot_group: int = HOT_GROUP,
 ) -> DataFrame:
     """cluster_id, keep_asset_id, date_asset_id, and each of ``fields`` filled by layer.
 
@@ -181,7 +223,9 @@ def golden_records(
     members = linked.join(known, "asset_id").select(F.col("cluster_id").alias("grp"), F.col("asset_id").alias("id"), "*")
     scratch = Scratch(records.sparkSession, "golden")
     members = scratch.keep(members.drop("asset_id", "cluster_id").distinct(), "members")
-    ranked = members.join(dominance_layers(members), ["grp", "id"])
+    # Without fields only the first layer counts.
+    most, wanted = (None, tuple(f"field_{f}" for f in fields)) if fields else (2, ())
+    ranked = members.join(dominance_layers(members, most, hot_group, wanted), ["grp", "id"])
     negative = F.transform("dims", lambda x: -x)
     order = F.struct("layer", negative, "id")
     kept = ranked.groupBy("grp").agg(

@@ -67,3 +67,38 @@ def test_survivor_date_and_fill(spark):
 
 def test_empty(spark):
     assert run(spark, [], [], []).count() == 0
+
+
+def test_fields_come_from_the_true_layer(spark):
+    rng = random.Random(3)
+    records, membership = [], []
+    for number in range(240):
+        lat = float(number) if number % 60 > 40 and rng.random() < 0.4 else None
+        # Many layers; records of lower layers have more exif fields than some of higher layers.
+        rank = number % 60
+        size, exif = 100 - rank + rng.randrange(3), max(0, 60 - rank + rng.randrange(12))
+        records.append(record(number, "google", size, "jpg", (10 + (60 - rank) // 4, 10), fields=exif, lat=lat))
+        membership.append((number // 60 if number < 180 else 2, number, "x"))
+    want = {}
+    for g in range(3):
+        ids = [n for c, n, _ in membership if c == g]
+        dims = {n: (records[n][9], records[n][5] * records[n][6], records[n][3], 0, 1) for n in ids}
+        layers = brute_layers(dims.items(), 10**9)
+        assert max(layers.values()) > 8
+        best = sorted(ids, key=lambda n: (layers[n], [-d for d in dims[n]], n))
+        want[g] = (best[0], next((records[n][10] for n in best if records[n][10] is not None), None))
+    for hot_group in (16, 5_000):
+        found = run(spark, [(0, 1.0), (1, 1.0), (2, 1.0)], membership, records, fields=("gps_lat",), hot_group=hot_group)
+        assert {c: (k, lat) for c, k, lat in rows_of(found, "cluster_id", "keep_asset_id", "gps_lat")} == want
+
+
+def test_a_deeper_layer_with_more_fields_does_not_fill_first(spark):
+    records = [record(n, size=100 - n, dims=(1, 1), fields=50 - n) for n in range(3)]
+    # Layer 4: one record with few fields but large; layers 4 to 9: records with more fields.
+    records += [record(10, size=97, dims=(1, 1), fields=1, lat=4.0)]
+    records += [record(20 + n, size=90 - n, dims=(1, 1), fields=40 - n) for n in range(6)]
+    records += [record(30, size=80, dims=(1, 1), fields=30, lat=9.0)]
+    membership = [(1, r[0], "x") for r in records]
+    for hot_group in (4, 5_000):
+        found = run(spark, [(1, 1.0)], membership, records, fields=("gps_lat",), hot_group=hot_group)
+        assert rows_of(found, "keep_asset_id", "gps_lat") == {(0, 4.0)}
