@@ -34,11 +34,11 @@ from pyspark.sql import functions as F
 
 from ..session import Scratch
 
-#: Labelled documents on which the classifier is fitted: per source, in all, and their longest text.
+#: Labelled documents on which the classifier is fitted: per source, in all, and the characters read of each.
 SAMPLE_PER_SOURCE = 1_000
 SAMPLE_TOTAL = 20_000
 SAMPLE_TEXT = 20_000
-#: Buckets of hashed words in the classifier, and most domains that it tells apart.
+#: Buckets of hashed words in the classifier, and most domains that it tells apart, unless more are targets.
 WORD_BUCKETS = 1 << 13
 MOST_DOMAINS = 256
 #: Weight of a document's own label against the classifier's posterior.
@@ -152,15 +152,19 @@ def mix_rates(
         F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), source_key(F.col(source)).alias("key")
     ).where(F.col("doc_id").isNotNull() & F.col("text").isNotNull() & (F.col("text") != ""))
     common = docs.where(F.col("key").isNotNull()).groupBy("key").count().orderBy(F.desc("count"), "key")
-    kept = [row["key"] for row in common.limit(MOST_DOMAINS).collect()]
-    kept = [k for k in kept if k in aims] + [k for k in kept if k not in aims]
-    # A sample of each source by hash of the document, of bounded size.
-    drawn = Window.partitionBy("key").orderBy(F.xxhash64("doc_id"))
-    fitting = docs.where(F.col("key").isin(kept) & (F.length("text") <= SAMPLE_TEXT))
+    # Every target with documents is a domain; the most frequent other sources fill up.
+    aimed_at = F.col("key").isin(list(aims))
+    kept = [row["key"] for row in common.where(aimed_at).collect()]
+    room = max(0, MOST_DOMAINS - len(kept))
+    kept += [row["key"] for row in common.where(~aimed_at).limit(room).collect()]
+    # A sample of each source by hash of the document, of bounded size; long texts come last, by their beginning.
+    drawn = Window.partitionBy("key").orderBy(F.length("text") > SAMPLE_TEXT, F.xxhash64("doc_id"))
+    fitting = docs.where(F.col("key").isin(kept))
     ordered = fitting.select("key", "doc_id", F.row_number().over(drawn).alias("n"))
-    share = min(SAMPLE_PER_SOURCE, SAMPLE_TOTAL // max(1, len(kept)))
+    share = max(1, min(SAMPLE_PER_SOURCE, SAMPLE_TOTAL // max(1, len(kept))))
     chosen = ordered.where(F.col("n") <= share).select("key", "doc_id")
-    sample = docs.join(chosen, ["key", "doc_id"], "left_semi").select("text", "key", "doc_id").collect()
+    beginning = F.substring("text", 1, SAMPLE_TEXT).alias("text")
+    sample = docs.join(chosen, ["key", "doc_id"], "left_semi").select(beginning, "key", "doc_id").collect()
     sample.sort(key=lambda row: (row["key"], row["doc_id"]))
     model = DomainModel([row["text"] for row in sample], [row["key"] for row in sample])
     shared = spark.sparkContext.broadcast(model)

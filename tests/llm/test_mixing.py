@@ -62,3 +62,15 @@ def test_classifier_on_held_out_documents():
     model = mixing.DomainModel([d[1] for d in docs], [d[2].strip().lower() for d in docs])
     assert model.accuracy > 0.95
     assert abs(model.posterior("press menu select").sum() - 1) < 1e-9
+
+
+def test_long_and_rare_targets_are_mixed(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SAMPLE_TEXT", 1_000)
+    monkeypatch.setattr(mixing, "MOST_DOMAINS", 2)
+    docs = corpus({"diary": 300, "manual": 20})
+    docs += [(5000 + n, " ".join(WORDS["radio"].split() * 60), "radio", "x") for n in range(20)]
+    docs += [(6000 + n, f"sand dune camel {n}", f"other_{n % 3}", "x") for n in range(1_200)]
+    targets = [("diary", 0.4, 1), ("manual", 0.2, 4), ("radio", 0.4, 2)]
+    shares = {r["source"]: r for r in mix_shares(spark.createDataFrame(docs, DOCS), spark.createDataFrame(targets, TARGETS)).collect()}
+    for source, goal, _ in targets:
+        assert abs(shares[source]["reached_share"] - goal) < 0.05
