@@ -205,21 +205,28 @@ def most_similar(
         [(grp, number) for grp, (number, _, _) in learned.items()] or [("", -1)], "grp string, g int"
     )
 
-    index = codes.select("g", "rep", "sketch", F.posexplode("subs").alias("t", "sub"))
+    subs = codes.select("g", "rep", "sketch", F.posexplode("subs").alias("t", "sub"))
     masks = F.explode(F.array(*(F.lit(0 if n < 0 else 1 << n).cast("bigint") for n in range(-1, s))))
-    probes = index.withColumn("mask", masks).select(
-        F.xxhash64("g", "t", F.col("sub").bitwiseXOR(F.col("mask"))).alias("key"), "g", "rep", "sketch"
-    )
-    index = index.select(F.xxhash64("g", "t", "sub").alias("key"), "g", "rep", "sketch")
+    index = subs.select(F.xxhash64("g", "t", "sub").alias("key"), "g", "rep", "sketch")
     units = classes.join(F.broadcast(numbers), "grp").select("g", "rep", "unit")
 
+    def probing(rows: DataFrame, *more: str) -> DataFrame:
+        flipped = F.xxhash64("g", "t", F.col("sub").bitwiseXOR(F.col("mask"))).alias("key")
+        return rows.withColumn("mask", masks).select(flipped, "g", "rep", "sketch", *more)
+
     crowded = index.groupBy("key").count().where(F.col("count") > HOT_BUCKET).select("key")
     found = crowded.take(HOT_BROADCAST + 1)
-    cold_index, hot_pairs = index, None
+    probes, cold_index, hot_pairs = probing(subs), index, None
+    # Both vectors of a pair meet each other, so one direction is enough, except for one whose own bucket is hot:
+    # there the other keeps only its k best.
+    wanted = F.col("rep") < F.col("b")
     if found:
         hot = F.broadcast(spark.createDataFrame(found, crowded.schema)) if len(found) <= HOT_BROADCAST else crowded
         cold_index = index.join(hot, "key", "left_anti")
         hot_pairs = _hot_pairs(probes.join(hot, "key"), index.join(hot, "key"), units, k, min_cosine)
+        own = subs.withColumn("key", F.xxhash64("g", "t", "sub")).join(hot.withColumn("own_hot", F.lit(True)), "key", "left")
+        probes = probing(own.drop("key"), "own_hot")
+        wanted = wanted | (F.col("own_hot") & (F.col("rep") != F.col("b")))
 
     other = cold_index.select("key", F.col("rep").alias("b"), F.col("sketch").alias("sketch_b"))
     differ = math.acos(min_cosine) / math.pi
@@ -227,8 +234,8 @@ def most_similar(
     apart = F.bit_count(F.col("sketch").bitwiseXOR(F.col("sketch_b")))
     pairs = (
         probes.join(other.hint("shuffle_hash"), "key")
-        .where((F.col("rep") < F.col("b")) & (apart <= most_apart))
-        .select("g", F.col("rep").alias("a"), "b")
+        .where(wanted & (apart <= most_apart))
+        .select("g", F.least("rep", "b").alias("a"), F.greatest("rep", "b").alias("b"))
         .distinct()
     )
     one = units.select("g", F.col("rep").alias("a"), F.col("unit").alias("unit_a"))

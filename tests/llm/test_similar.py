@@ -79,3 +79,18 @@ def test_plan_and_rotation():
     _, turn = learn_rotations(sample, 20, 0)
     assert turn.shape == (8, 20)
     assert np.allclose(turn[:, :8].T @ turn[:, :8], np.eye(8), atol=1e-8)
+
+
+def test_hot_and_cold_buckets_give_the_same(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    vectors = rng.standard_normal((300, 6)) * [3, 2, 1, 1, 1, 1] + [1, 0.5, 0, 0, 0, 0]
+    frame = spark.createDataFrame([(n, "m", v.astype("f4").tolist()) for n, v in enumerate(vectors)], SCHEMA)
+    monkeypatch.setattr(similar, "plan_code", lambda *_: (3, 1))
+
+    def found():
+        return rows_of(most_similar(frame, "id", "model", "vec", min_cosine=0.6, sketch_sigmas=100.0), "id", "other", "rank")
+
+    cold = found()
+    for hot_bucket in (30, 40, 50):
+        monkeypatch.setattr(similar, "HOT_BUCKET", hot_bucket)
+        assert found() == cold
