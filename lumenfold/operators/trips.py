@@ -3,15 +3,18 @@
 Pings are cut into spans at silences that are certain from coarse time buckets, so
 the pings of one device spread over many tasks. Each span is read once in time
 order: repeated pings and lone wild fixes go, silences split it into sessions, and
-each session is simplified by time-synchronised Douglas-Peucker. Simplified
-segments of low speed are the stop candidates; an exact check grows or shrinks each
-to the longest run within the radius of its own centre, ping by ping: two pings on
-either side of a centre that neither is near to are no run. What lies between two stops
-of a session is a trip, with the length of its simplified path.
+each session is simplified by time-synchronised Douglas-Peucker, in stretches of
+bounded length, so that the time grows with the pings. Simplified segments of low
+speed that stay within the radius are the stops: neighbouring ones join while the
+points of the path lie within the radius of their common centre, and only the ends
+of a stop are then moved, ping by ping, to the longest run within the radius of its
+own centre. All other segments are retained movement. What lies between two stops of
+a session is a trip, with the length of its simplified path.
 
 A span is held in memory only up to CHUNK pings: beyond that it is closed at the last
-step longer than the diameter of a stop, which no stop can straddle, and the open trip
-is carried on. Only a device that never makes such a step stays whole.
+step longer than the diameter of a stop, or else after the last stop that has ended,
+and the open trip is carried on. Only what has neither stays whole, such as one stay of
+more pings without a silence; it is judged anew only when its pings have doubled.
 
 Defined results: pings without device or time are left out, as are void fixes; a
 session with fewer than two pings, and a run shorter than the least duration, give
@@ -21,7 +24,6 @@ nothing; repeated rows count once.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import hypot
 
 import numpy as np
 import pandas as pd
@@ -29,8 +31,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 EARTH_M = 6_371_000.0
-#: Pings of a span that are held before it is cut at a long step.
+#: Pings of a span that are held before it is closed in part.
 CHUNK = 100_000
+#: Pings of a stretch that is simplified in one go; its ends are points of the path.
+STRETCH = 1_000
 
 
 def _metres(lat1, lon1, lat2, lon2):
@@ -65,72 +69,95 @@ def simplify(t: np.ndarray, x: np.ndarray, y: np.ndarray, tolerance: float) -> l
     return sorted(set(kept))
 
 
-def _joined_runs(x: list[float], y: list[float], a: int, b: int, radius: float) -> Iterator[tuple[int, int]]:
-    """Runs of a..b in which every ping lies within ``radius`` of the centre of those before it."""
-    start, sx, sy = a, x[a], y[a]
-    for n in range(a + 1, b + 1):
-        size = n - start
-        if hypot(x[n] - sx / size, y[n] - sy / size) > radius:
-            yield start, n - 1
-            start, sx, sy = n, 0.0, 0.0
-        sx += x[n]
-        sy += y[n]
-    yield start, b
+def simplified(t: np.ndarray, x: np.ndarray, y: np.ndarray, tolerance: float) -> list[int]:
+    """The points of the path, stretch by stretch."""
+    path = [0]
+    for a in range(0, len(t) - 1, STRETCH):
+        b = min(a + STRETCH, len(t) - 1) + 1
+        path += [a + k for k in simplify(t[a:b], x[a:b], y[a:b], tolerance)[1:]]
+    return path
 
 
-def _longest_run(lat, lon, a: int, b: int, floor: int, radius: float) -> tuple[int, int]:
-    """Grows or shrinks the run a..b until it is the longest one within ``radius`` of its centre.
-
-    A ping joins if it lies within the radius of the centre of the run as it is, and
-    the whole run still lies within the radius of its centre with it.
-    """
-
-    def away(low: int, high: int, of: slice | int):
-        return _metres(lat[of], lon[of], lat[low : high + 1].mean(), lon[low : high + 1].mean())
-
-    def fits(low: int, high: int) -> bool:
-        return away(low, high, slice(low, high + 1)).max() <= radius
-
-    while b > a and not fits(a, b):
-        centre = np.median(lat[a : b + 1]), np.median(lon[a : b + 1])
-        ends = _metres(lat[[a, b]], lon[[a, b]], *centre)
-        a, b = (a + 1, b) if ends[0] >= ends[1] else (a, b - 1)
-    grown = True
-    while grown:
-        grown = False
-        if b + 1 < len(lat) and away(a, b, b + 1) <= radius and fits(a, b + 1):
-            b, grown = b + 1, True
-        if a > floor and away(a, b, a - 1) <= radius and fits(a - 1, b):
-            a, grown = a - 1, True
-    return a, b
+def slow_groups(t, x, y, path: list[int], radius: float, slow_mps: float) -> list[tuple[int, int]]:
+    """Neighbouring segments of low speed, joined while the path stays within the radius of their centre."""
+    groups: list[tuple[int, int]] = []
+    points: list[int] = []
+    sum_x, sum_y = np.concatenate([[0.0], np.cumsum(x)]), np.concatenate([[0.0], np.cumsum(y)])
+    for a, b in zip(path, path[1:]):
+        length = float(np.hypot(x[b] - x[a], y[b] - y[a]))
+        if length > radius or length > slow_mps * max(t[b] - t[a], 1e-9):
+            points = []
+            continue
+        if points:
+            low = points[0]
+            count = b + 1 - low
+            centre = (sum_x[b + 1] - sum_x[low]) / count, (sum_y[b + 1] - sum_y[low]) / count
+            joined = [*points, b]
+            if np.hypot(x[joined] - centre[0], y[joined] - centre[1]).max() <= radius:
+                points, groups[-1] = joined, (low, b)
+                continue
+        points = [a, b]
+        groups.append((a, b))
+    return groups
+
+
+class Runs:
+    """Runs of pings and their centres."""
+
+    def __init__(self, lat: np.ndarray, lon: np.ndarray, radius: float):
+        self.lat, self.lon, self.radius = lat, lon, radius
+        self.sums = [np.concatenate([[0.0], np.cumsum(v - v[0])]) for v in (lat, lon)]
+
+    def away(self, a: int, b: int, of: slice | int):
+        """Distance of pings from the centre of the run a..b."""
+        lat, lon = ((s[b + 1] - s[a]) / (b + 1 - a) for s in self.sums)
+        return _metres(self.lat[of], self.lon[of], self.lat[0] + lat, self.lon[0] + lon)
+
+    def fits(self, a: int, b: int) -> bool:
+        return bool(self.away(a, b, slice(a, b + 1)).max() <= self.radius)
+
+    def longest(self, a: int, b: int, floor: int) -> tuple[int, int]:
+        """The longest run in a..b, not before ``floor``, with its ends moved on as far as they go.
+
+        A run that does not lie within the radius of its centre is split at the ping that
+        is furthest away. A ping joins at an end if it lies within the radius of the centre
+        as it is, and the whole run still lies within the radius with it.
+        """
+        todo, best = [(a, b)], (a, a)
+        while todo:
+            a, b = todo.pop()
+            distances = self.away(a, b, slice(a, b + 1))
+            worst = int(distances.argmax())
+            if distances[worst] <= self.radius:
+                best = max(best, (a, b), key=lambda run: run[1] - run[0])
+                continue
+            todo += [(low, high) for low, high in ((a, a + worst - 1), (a + worst + 1, b)) if high - low > best[1] - best[0]]
+        a, b = best
+        grown = True
+        while grown:
+            grown = False
+            if b + 1 < len(self.lat) and self.away(a, b, b + 1) <= self.radius and self.fits(a, b + 1):
+                b, grown = b + 1, True
+            if a > floor and self.away(a, b, a - 1) <= self.radius and self.fits(a - 1, b):
+                a, grown = a - 1, True
+        return a, b
 
 
 def stops_of(t, lat, lon, radius: float, least_s: float, tolerance: float, slow_mps: float):
     """(first index, last index) of every stop, and the indexes of the simplified path."""
     x, y = _plane(lat, lon)
     lon = lon[0] + ((lon - lon[0] + 180.0) % 360.0 - 180.0)
-    path = simplify(t, x, y, tolerance)
-    runs: list[list[int]] = []
-    for a, b in zip(path, path[1:]):
-        speed = np.hypot(x[b] - x[a], y[b] - y[a]) / max(t[b] - t[a], 1e-9)
-        if speed <= slow_mps:
-            if runs and runs[-1][1] == a:
-                joined = np.hypot(x[runs[-1][0] : b + 1] - x[a], y[runs[-1][0] : b + 1] - y[a]).max()
-                if joined <= radius:
-                    runs[-1][1] = b
-                    continue
-            runs.append([a, b])
+    path = simplified(t, x, y, tolerance)
+    runs = Runs(lat, lon, radius)
     stops: list[tuple[int, int]] = []
-    flat_x, flat_y = x.tolist(), y.tolist()
-    for low, high in runs:
-        for a, b in _joined_runs(flat_x, flat_y, low, high, radius):
-            floor = stops[-1][1] + 1 if stops else 0
-            if b < floor:
-                continue
-            a, b = _longest_run(lat, lon, max(a, floor), b, floor, radius)
-            if t[b] - t[a] >= least_s:
-                stops.append((a, b))
-    return stops, path, x, y
+    for a, b in slow_groups(t, x, y, path, radius, slow_mps):
+        floor = stops[-1][1] + 1 if stops else 0
+        if b < floor:
+            continue
+        a, b = runs.longest(max(a, floor), b, floor)
+        if t[b] - t[a] >= least_s:
+            stops.append((a, b))
+    return stops, path
 
 
 def stops_and_trips(
@@ -195,6 +222,7 @@ def stops_and_trips(
             self.key = (device, span)
             self.parts: list[np.ndarray] = []
             self.size = 0
+            self.wait = CHUNK
             self.prior: np.ndarray | None = None
             self.stop: tuple | None = None  # time of the last stop's end, metres and pings since, last point
 
@@ -205,7 +233,7 @@ def stops_and_trips(
             self.size += len(block)
 
         def done(self, last: bool) -> list[tuple]:
-            """Rows of the span so far; unless it is the last call, up to a long step only."""
+            """Rows of the span so far; unless it is the last call, of its settled part only."""
             block = np.concatenate(self.parts)
             keep = np.ones(len(block), bool)
             keep[1:] = (np.diff(block[:, :3], axis=0) != 0).any(axis=1)
@@ -223,21 +251,32 @@ def stops_and_trips(
             t, lat, lon, raw = t[good], lat[good], lon[good], np.flatnonzero(good)
             end = len(t)
             if not last:
-                steps = _metres(lat[:-1], lon[:-1], lat[1:], lon[1:])
-                cuts = np.flatnonzero(steps[:-2] > 2 * radius_m) + 1 if len(steps) > 2 else []
-                if not len(cuts):
-                    self.parts, self.size = [block], len(block)
+                end = self.settled(t, lat, lon)
+                if not end:
+                    self.parts, self.size, self.wait = [block], len(block), 2 * len(block)
                     return []
-                end = int(cuts[-1])
             rows = self.sessions(t[:end], lat[:end], lon[:end])
             if last:
                 self.parts, self.size = [], 0
             else:
                 self.prior = np.array([t[end - 1], lat[end - 1], lon[end - 1]])
                 rest = block[raw[end] :]
-                self.parts, self.size = [rest], len(rest)
+                self.parts, self.size, self.wait = [rest], len(rest), len(rest) + CHUNK
             return rows
 
+        @staticmethod
+        def settled(t, lat, lon) -> int:
+            """How many pings no later ping can change: up to the last long step, which no stop
+            can straddle, else up to the end of the last stop that another ping has ended."""
+            far = np.flatnonzero(_metres(lat[:-3], lon[:-3], lat[1:-2], lon[1:-2]) > 2 * radius_m)
+            if len(far):
+                return int(far[-1]) + 1
+            begun = int(np.append(np.flatnonzero(np.diff(t) > silence_s) + 1, 0).max())
+            if len(t) - begun < 4:
+                return begun
+            stops, _ = stops_of(t[begun:], lat[begun:], lon[begun:], radius_m, least_s, tolerance_m, slow_mps)
+            return max((begun + high + 1 for _, high in stops if begun + high < len(t) - 3), default=begun)
+
         def sessions(self, t, lat, lon) -> list[tuple]:
             device, rows = self.key[0], []
             cuts = np.flatnonzero(np.diff(t) > silence_s) + 1
@@ -247,7 +286,7 @@ def stops_and_trips(
                     continue
                 if self.stop is not None and st[0] - self.stop[3][0] > silence_s:
                     self.stop = None
-                stops, path, _, _ = stops_of(st, sy, sx, radius_m, least_s, tolerance_m, slow_mps) if len(st) > 1 else ([], [0], 0, 0)
+                stops, path = stops_of(st, sy, sx, radius_m, least_s, tolerance_m, slow_mps) if len(st) > 1 else ([], [0])
 
                 def along(first: int, last: int) -> float:
                     points = [first, *(k for k in path if first < k < last), last]
@@ -290,7 +329,7 @@ def stops_and_trips(
                         rows += held.done(True) if held is not None else []
                         held = Span(*key)
                     held.add(numbers[a:b])
-                    if held.size >= CHUNK:
+                    if held.size >= held.wait:
                         rows += held.done(False)
             yield pd.DataFrame(rows, columns=columns)
         if held is not None and held.size:

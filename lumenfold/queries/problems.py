@@ -103,4 +103,48 @@ SQL: dict[str, str] = {
                 WHEN hh <> '' THEN secs - (CASE WHEN hh[1] = '-' THEN -1 ELSE 1 END) * (hh[2:3]::BIGINT * 3600 + mm::BIGINT * 60) END AS utc_second FROM g)
         WHERE utc_second IS NOT NULL
     """,
+    "p7_found": """
+        WITH fix AS (
+            SELECT DISTINCT device_id, epoch_us(seen) / 1e6 AS t, lat, lon FROM (
+                SELECT device_id, shot_when AS seen, lat, lon FROM asset_point
+                UNION ALL SELECT device_id, datetime_original, latitude, longitude FROM srt_telemetry)
+            WHERE device_id IS NOT NULL AND seen IS NOT NULL AND lat BETWEEN -90 AND 90 AND lon BETWEEN -180 AND 180 AND NOT (lat = 0 AND lon = 0)
+        ),
+        beside AS (
+            SELECT *, lag(t) OVER w AS pt, lag(lat) OVER w AS plat, lag(lon) OVER w AS plon,
+                   lead(t) OVER w AS nt, lead(lat) OVER w AS nlat, lead(lon) OVER w AS nlon
+            FROM fix WINDOW w AS (PARTITION BY device_id ORDER BY t, lat, lon)
+        ),
+        paced AS (
+            SELECT *, 2 * 6371000.0 * asin(sqrt(least(1.0, pow(sin(radians(lat - plat) / 2), 2)
+                       + cos(radians(lat)) * cos(radians(plat)) * pow(sin(radians(lon - plon) / 2), 2)))) * 3.6 > 300 * greatest(t - pt, 0) AS fast_in,
+                   2 * 6371000.0 * asin(sqrt(least(1.0, pow(sin(radians(nlat - lat) / 2), 2)
+                       + cos(radians(lat)) * cos(radians(nlat)) * pow(sin(radians(nlon - lon) / 2), 2)))) * 3.6 > 300 * greatest(nt - t, 0) AS fast_out
+            FROM beside
+        ),
+        clean AS (
+            SELECT device_id, t, lat, lon, lag(t) OVER w AS pt, lag(lat) OVER w AS plat, lag(lon) OVER w AS plon
+            FROM paced WHERE NOT (coalesce(fast_in, false) AND coalesce(fast_out, false))
+            WINDOW w AS (PARTITION BY device_id ORDER BY t, lat, lon)
+        ),
+        broken AS (
+            SELECT *, coalesce(t - pt > 14400, true) AS silent,
+                   2 * 6371000.0 * asin(sqrt(least(1.0, pow(sin(radians(lat - plat) / 2), 2)
+                       + cos(radians(lat)) * cos(radians(plat)) * pow(sin(radians(lon - plon) / 2), 2)))) > 150 AS stepped
+            FROM clean
+        ),
+        runs AS (
+            SELECT *, sum(silent::INT) OVER w AS session, sum((silent OR stepped)::INT) OVER w AS run
+            FROM broken WINDOW w AS (PARTITION BY device_id ORDER BY t, lat, lon ROWS UNBOUNDED PRECEDING)
+        ),
+        stops AS (
+            SELECT device_id, session, run, min(t) AS start_t, max(t) AS end_t FROM runs
+            GROUP BY device_id, session, run HAVING max(t) - min(t) >= 1200
+        ),
+        trips AS (
+            SELECT device_id, end_t AS start_t, lead(start_t) OVER (PARTITION BY device_id, session ORDER BY start_t) AS end_t FROM stops
+        )
+        SELECT device_id, 'stop' AS kind, floor(start_t)::BIGINT AS start_s, floor(end_t)::BIGINT AS end_s FROM stops
+        UNION ALL SELECT device_id, 'trip', floor(start_t)::BIGINT, floor(end_t)::BIGINT FROM trips WHERE end_t IS NOT NULL
+    """,
 }

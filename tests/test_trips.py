@@ -101,3 +101,54 @@ def test_a_silence_on_the_way_is_no_stop(spark):
     pings = stay(0, 8, 300, 50.0) + [(2400 + k * 300 + (5000 if k > 2 else 0), 50.004 + k * 228 * DEG, 10.0) for k in range(6)]
     pings += stay(10_000, 8, 300, 50.02, seed=3)
     assert kinds(run(spark, pings)) == {("stop", 0, 2100), ("stop", 10_000, 12_100), ("trip", 2100, 10_000)}
+
+
+def test_stops_come_from_the_simplified_path(spark):
+    pings = stay(0, 10, 300, 50.0) + move(3000, 6, 120, 50.01) + stay(4000, 8, 300, 50.08, seed=1)
+    rows = spark.createDataFrame([("d", float(t), la, lo) for t, la, lo in pings], SCHEMA)
+    assert kinds(stops_and_trips(rows, tolerance_m=1e12)) == set()
+    assert {k for k, _, _ in kinds(stops_and_trips(rows, slow_mps=1e-9))} == set()
+
+
+def test_stretches_do_not_change_the_rows(spark, monkeypatch):
+    from lumenfold.operators import trips
+
+    pings, t = [], 0
+    for n in range(6):
+        pings += stay(t, 60, 30, 50.0 + n * 0.05, seed=n) + move(t + 1800, 10, 60, 50.002 + n * 0.05, 500)
+        t += 2400
+    whole = kinds(run(spark, pings))
+    monkeypatch.setattr(trips, "STRETCH", 7)
+    assert kinds(run(spark, pings)) == whole and len(whole) == 11
+
+
+def test_runs_against_brute_force():
+    """The run that is found lies within the radius of its centre, and neither end can move on."""
+    import numpy as np
+
+    from lumenfold.operators.trips import Runs
+
+    rng = np.random.default_rng(3)
+    for _ in range(50):
+        n = int(rng.integers(5, 40))
+        lat, lon = 50 + np.cumsum(rng.normal(0, 40, n)) * DEG, 10 + np.cumsum(rng.normal(0, 40, n)) * DEG
+        runs = Runs(lat, lon, 150.0)
+        a, b = runs.longest(0, n - 1, 0)
+        assert runs.fits(a, b)
+        assert b == n - 1 or not (runs.away(a, b, b + 1) <= 150 and runs.fits(a, b + 1))
+        assert a == 0 or not (runs.away(a, b, a - 1) <= 150 and runs.fits(a - 1, b))
+
+
+def test_a_slow_wanderer_is_closed_after_its_stops(spark, monkeypatch):
+    """Without any long step a span is closed after an ended stop; its rows stay the same."""
+    from lumenfold.operators import trips
+
+    pings, t, lat = [], 0, 50.0
+    for n in range(5):
+        pings += stay(t, 40, 60, lat, seed=n)
+        t += 40 * 60
+        pings += [(t + k * 60, lat + k * 140 * DEG, 10.0) for k in range(1, 15)]
+        t, lat = t + 15 * 60, lat + 15 * 140 * DEG
+    whole = kinds(run(spark, pings))
+    monkeypatch.setattr(trips, "CHUNK", 50)
+    assert kinds(run(spark, pings)) == whole and len(whole) == 9
