@@ -1,10 +1,12 @@
 import random
 import unicodedata
 
+import numpy as np
 from conftest import rows_of
 from pyspark.sql import functions as F
 
-from lumenfold.llm.history import HistoryStore, _signed, dedup_arrivals, dedup_inbox, path_key
+from lumenfold.llm import history
+from lumenfold.llm.history import HistoryStore, dedup_arrivals, dedup_inbox, minwise, path_key, record_ledger
 from lumenfold.session import Scratch
 
 LEDGER = "id bigint, path string, status string, phash bigint, taken_at string"
@@ -75,8 +77,7 @@ def test_against_brute_force(spark):
 def test_batch_after_batch_equals_all_at_once(spark):
     ledger, inbox = example(3)
     store = HistoryStore(spark, Scratch(spark, "t").path("store"))
-    accepted = spark.createDataFrame(ledger, LEDGER).where("status in ('canonical', 'promoted')")
-    store.append(_signed(accepted.select("id", "path", "phash", "taken_at")))
+    record_ledger(store, spark.createDataFrame(ledger, LEDGER))
     found = set()
     for batch in range(5):
         part = [r for r in inbox if r[1] == batch]
@@ -100,3 +101,66 @@ def test_path_key(spark):
 
 def test_empty(spark):
     assert dedup_inbox(spark.createDataFrame([], LEDGER), spark.createDataFrame([], INBOX)).count() == 0
+
+
+def test_minwise_hashes_agree_as_the_sets_overlap():
+    rng = np.random.default_rng(0)
+    one = rng.integers(-(2**63), 2**63 - 1, 4_000)
+    for bits in (0, 3, 6, 20):
+        two = one.copy()
+        for n in range(len(two)):
+            for place in rng.choice(64, bits, replace=False):
+                two[n] ^= np.int64(1) << np.int64(place)
+        same = (minwise(one) == minwise(two)).mean()
+        assert abs(same - (64 - bits) / (64 + bits)) < 0.02
+
+
+def test_minwise_by_brute_force():
+    tables = history.minwise_tables()
+    value = 0x0123456789ABCDEF
+    for n, got in enumerate(minwise(np.array([value]))[0]):
+        assert got == min(tables[n, byte, value >> 8 * byte & 255] for byte in range(8))
+
+
+def test_bands_meet_near_pairs(spark):
+    """Of pairs at six bits in one second, the share that the bands lose is what minwise hashing promises."""
+    rng = random.Random(9)
+    rows = []
+    for n in range(8_000):
+        h = rng.getrandbits(63)
+        g = h
+        for place in rng.sample(range(63), 6):
+            g ^= 1 << place
+        rows += [(2 * n, n, h), (2 * n + 1, n, g)]
+    hashes = minwise(np.array([r[2] for r in rows]))
+    bands = [[tuple(h[k * history.ROWS : (k + 1) * history.ROWS]) for k in range(history.BANDS)] for h in hashes]
+    lost = sum(not any(a == b for a, b in zip(bands[2 * n], bands[2 * n + 1])) for n in range(8_000))
+    assert lost <= 6
+
+
+def test_batches_run_again_give_the_same(spark):
+    ledger, inbox = example(4)
+    store = HistoryStore(spark, Scratch(spark, "t").path("store"))
+    record_ledger(store, spark.createDataFrame(ledger, LEDGER))
+    first = [rows_of(dedup_arrivals(store, spark.createDataFrame([r for r in inbox if r[1] == b], INBOX)), "known_id", "new_id") for b in range(5)]
+    rows = store.read().count()
+    again = rows_of(dedup_arrivals(store, spark.createDataFrame([r for r in inbox if r[1] == 2], INBOX)), "known_id", "new_id")
+    assert again == first[2] and store.read().count() == rows and len(store.segments()) == 6
+    store.compact("1-000000000003")
+    assert len(store.segments()) == 3 and store.read().count() == rows
+    last = rows_of(dedup_arrivals(store, spark.createDataFrame([r for r in inbox if r[1] == 4], INBOX)), "known_id", "new_id")
+    assert last == first[4]
+
+
+def test_a_small_batch_reads_few_parts(spark, monkeypatch):
+    monkeypatch.setattr(history, "PART_ROWS", 20)
+    rng = random.Random(2)
+    ledger = [(n, f"/p/{n}.jpg", "canonical", rng.getrandbits(62), f"2020-01-0{1 + n % 9}T00:{n % 60:02d}:10") for n in range(600)]
+    store = HistoryStore(spark, Scratch(spark, "t").path("store"))
+    record_ledger(store, spark.createDataFrame(ledger, LEDGER))
+    assert store.segments() == {"0-ledger": 512}
+    asked = spark.createDataFrame([(-17,)], "key bigint")
+    files = store.read(asked=asked).inputFiles()
+    assert len(files) <= 1
+    found = dedup_arrivals(store, spark.createDataFrame([(9000, 1, "/p/7.jpg", None, None, "new")], INBOX))
+    assert rows_of(found, "known_id", "new_id") == {(7, 9000)}
