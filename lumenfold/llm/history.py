@@ -54,7 +54,7 @@ SLOT = 8
 #: Minwise bands of a fingerprint, and hashes of a band.
 BANDS, ROWS = 8, 2
 #: Key rows of one part of a segment, and most parts of a segment.
-PART_ROWS, MOST_PARTS = 500_000, 1 << 18
+PART_ROWS, MOST_PARTS = 250_000, 1 << 18
 #: Name of the segment of the ledger; batches come after it.
 LEDGER = "0-ledger"
 
@@ -221,7 +221,9 @@ class HistoryStore:
             parts *= 2
         beside = f"{self.path}-{uuid.uuid4().hex[:12]}"
         part = F.col("key").bitwiseAND(F.lit(parts - 1)).cast("int")
-        placed = rows.withColumn("part", part).repartition(parts, "part").sortWithinPartitions("part", "key")
+        # More partitions than parts, so that hardly two parts meet in one.
+        spread = max(parts, min(4 * parts, 4_096))
+        placed = rows.withColumn("part", part).repartition(spread, "part").sortWithinPartitions("part", "key")
         placed.write.partitionBy("part").option("compression", "zstd").parquet(beside)
         old = {name: count for name, count in self.segments().items() if name in {segment, *(replaced or ())}}
         files, root = self._files(self.path)

@@ -137,4 +137,40 @@ SQL: dict[str, str] = {
         )
         SELECT DISTINCT least(a, b) AS asset_a, greatest(a, b) AS asset_b FROM ranked WHERE n <= 5 AND cosine >= 0.9
     """,
+    "p6_found": """
+        WITH RECURSIVE rec AS (
+            SELECT 0 AS n, id, path, phash, taken_at FROM (SELECT DISTINCT id, path, phash, taken_at FROM asset WHERE status IN ('canonical', 'promoted'))
+            UNION ALL
+            SELECT row_number() OVER (ORDER BY batch_no, id), id, path, phash, taken_at
+            FROM (SELECT DISTINCT id, batch_no, path, phash, taken_at FROM asset_inbox)
+        ),
+        tidy AS (
+            SELECT n, id, phash, nfc_normalize(lower(nfc_normalize(path))) AS low,
+                   regexp_replace(trim(taken_at), ' ?(Z|UTC|GMT|[+-][0-9]{2}:?[0-9]{2}|[+-][0-9]{2})$', '') AS shown FROM rec
+        ),
+        keyed AS (
+            SELECT n, id, phash,
+                   CASE WHEN trim(low) <> '' THEN regexp_replace(regexp_replace(regexp_replace(
+                       regexp_replace(low, '(/\\.)+(/|$)', '\\2', 'g'), '/+', '/', 'g'), '^\\./', ''), '(.)/$', '\\1') END AS file,
+                   epoch(try_strptime(regexp_replace(shown, '[.,][0-9]+$', ''),
+                       ['%Y-%m-%dT%H:%M:%S', '%Y-%m-%d %H:%M:%S', '%Y:%m:%d %H:%M:%S', '%Y/%m/%d %H:%M:%S', '%Y%m%dT%H%M%S', '%Y%m%d_%H%M%S', '%Y%m%d-%H%M%S',
+                        '%Y%m%d%H%M%S', '%d-%b-%Y %H:%M:%S', '%d %b %Y, %I:%M:%S %p', '%a, %d %b %Y %H:%M:%S']))::BIGINT AS sec
+            FROM tidy
+        ),
+        met AS (
+            SELECT a.n AS old_n, a.id AS known_id, b.n, b.id AS new_id FROM keyed a JOIN keyed b ON a.file = b.file AND a.n < b.n
+            UNION
+            SELECT a.n, a.id, b.n, b.id FROM keyed a JOIN (SELECT *, unnest([sec - 2, sec - 1, sec, sec + 1, sec + 2]) AS at FROM keyed) b ON a.sec = b.at AND a.n < b.n
+            WHERE bit_count(xor(a.phash, b.phash)) <= 6
+        ),
+        against AS (SELECT k.n, bool_or(coalesce(m.old_n = 0, false)) AS old, list(m.old_n) FILTER (WHERE m.old_n > 0) AS earlier FROM keyed k LEFT JOIN met m USING (n) WHERE k.n > 0 GROUP BY k.n),
+        decided AS (
+            SELECT 0::BIGINT AS n, []::BIGINT[] AS accepted
+            UNION ALL
+            SELECT a.n, CASE WHEN a.old OR list_has_any(d.accepted, coalesce(a.earlier, [])) THEN d.accepted ELSE list_append(d.accepted, a.n) END
+            FROM decided d JOIN against a ON a.n = d.n + 1
+        ),
+        taken AS (SELECT unnest(accepted) AS n FROM (SELECT accepted FROM decided ORDER BY n DESC LIMIT 1))
+        SELECT DISTINCT known_id, new_id FROM met WHERE old_n = 0 OR old_n IN (SELECT n FROM taken)
+    """,
 }
