@@ -1,4 +1,4 @@
-"""Nearest and bracketing fixes in time, by one union and two running windows."""
+"""Nearest and bracketing fixes in time, by one union and two running windows per slot of time."""
 
 from __future__ import annotations
 
@@ -8,21 +8,40 @@ from pyspark.sql import functions as F
 from ..functions.geo import haversine_km, interpolate
 
 
-def bracket(targets: DataFrame, fixes: DataFrame, keys: list[str]) -> DataFrame:
+#: Seconds of a time slot: the rows of a key are sorted slot by slot, not in one task.
+SLOT = 86_400
+
+
+def bracket(targets: DataFrame, fixes: DataFrame, keys: list[str], slot: float = SLOT) -> DataFrame:
     """targets (keys, id, t) with before and after: struct(t, lat, lon) of the fixes around t.
 
-    A fix exactly at t is the one after. Keys should be as fine as the data allows
-    (device and day, for instance): each is sorted in one task.
+    A fix exactly at t is the one after; of fixes at one time the least position counts.
+    Rows meet in slots of time, and the last and first fix of every slot are carried to
+    the slots after and before it, so a bracket may span any number of slots. Both
+    windows run from one end, so their time grows with the rows. Targets without a key
+    or time find no fix.
     """
-    point = F.struct("t", "lat", "lon")
-    rows = targets.select(*keys, "t", F.lit(0).alias("is_fix"), "id", F.lit(None).cast(_point_type(fixes)).alias("fix")).unionByName(
+    point, kind = F.struct("t", "lat", "lon"), _point_type(fixes)
+    fixes = fixes.where(F.col("t").isNotNull())
+    rows = targets.select(*keys, "t", F.lit(0).alias("is_fix"), "id", F.lit(None).cast(kind).alias("fix")).unionByName(
         fixes.select(*keys, "t", F.lit(1).alias("is_fix"), F.lit(None).cast(targets.schema["id"].dataType).alias("id"), point.alias("fix"))
     )
-    earlier = Window.partitionBy(*keys).orderBy("t", "is_fix").rowsBetween(Window.unboundedPreceding, 0)
-    later = Window.partitionBy(*keys).orderBy("t", "is_fix").rowsBetween(0, Window.unboundedFollowing)
+    rows = rows.withColumn("__slot", F.floor(F.col("t") / F.lit(slot)))
+    ends = rows.groupBy(*keys, "__slot").agg(F.min("fix").alias("__first"), F.max("fix").alias("__last"))
+    in_order, backwards = Window.partitionBy(*keys).orderBy("__slot"), Window.partitionBy(*keys).orderBy(F.desc("__slot"))
+    carried = ends.select(
+        *keys,
+        "__slot",
+        F.last("__last", ignorenulls=True).over(in_order.rowsBetween(Window.unboundedPreceding, -1)).alias("__prior"),
+        F.last("__first", ignorenulls=True).over(backwards.rowsBetween(Window.unboundedPreceding, -1)).alias("__next"),
+    )
+    inside = Window.partitionBy(*keys, "__slot")
+    earlier = inside.orderBy("t", "is_fix", F.desc("fix")).rowsBetween(Window.unboundedPreceding, 0)
+    later = inside.orderBy(F.desc("t"), F.desc("is_fix"), F.desc("fix")).rowsBetween(Window.unboundedPreceding, 0)
     return (
-        rows.withColumn("before", F.last("fix", ignorenulls=True).over(earlier))
-        .withColumn("after", F.first("fix", ignorenulls=True).over(later))
+        rows.join(carried, [*keys, "__slot"], "left")
+        .withColumn("before", F.coalesce(F.last("fix", ignorenulls=True).over(earlier), "__prior"))
+        .withColumn("after", F.coalesce(F.last("fix", ignorenulls=True).over(later), "__next"))
         .where("is_fix = 0")
         .select(*keys, "id", "t", "before", "after")
     )

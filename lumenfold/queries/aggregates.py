@@ -161,13 +161,13 @@ def vote_person(spark: SparkSession, sf_dir: str) -> DataFrame:
            JOIN ledger a ON a.id = d.asset_id WHERE d.tz_name IS NOT NULL GROUP BY ALL),
        r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n DESC, tz_name) AS k FROM z),
        p AS (SELECT source, max(CASE WHEN k = 1 THEN tz_name END) AS a, max(CASE WHEN k = 1 THEN n END) AS m, max(CASE WHEN k = 2 THEN n END) AS q FROM r GROUP BY 1)
-       SELECT source, CASE WHEN q IS NULL OR m >= 1.05 * q THEN a END AS winner FROM p""",
+       SELECT source, CASE WHEN q IS NULL OR m >= 2 * q THEN a END AS winner FROM p""",
     "wall ledger",
 )
 def vote_zone(spark: SparkSession, sf_dir: str) -> DataFrame:
     zones = table(spark, sf_dir, "date_candidate").select("candidate_id", F.col("asset_id").alias("id"), F.trim("tz_name").alias("tz_name")).distinct()
     known = table(spark, sf_dir, "asset").select("id", "source").distinct()
-    return dominant(zones.join(known, "id"), ["source"], "tz_name", 1.05)
+    return dominant(zones.join(known, "id"), ["source"], "tz_name", 2.0)
 
 
 @query(

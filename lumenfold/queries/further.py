@@ -156,8 +156,8 @@ def chase(pointers: DataFrame, most_hops: int = 10) -> DataFrame:
 
 @query(
     "clock_offsets",
-    """WITH r AS (SELECT device_id, t, floor(t / 86400.0)::BIGINT AS day FROM pings WHERE id % 2 = 0), x AS (SELECT device_id, t + 37 AS t, floor((t + 37) / 86400.0)::BIGINT AS day FROM pings WHERE id % 2 = 1),
-       b AS (SELECT x.device_id, x.t, p.t AS bt, q.t AS nt FROM x ASOF LEFT JOIN r p ON p.device_id = x.device_id AND p.day = x.day AND p.t < x.t ASOF LEFT JOIN r q ON q.device_id = x.device_id AND q.day = x.day AND q.t >= x.t),
+    """WITH r AS (SELECT device_id, t FROM pings WHERE id % 2 = 0), x AS (SELECT device_id, t + 37 AS t FROM pings WHERE id % 2 = 1),
+       b AS (SELECT x.device_id, x.t, p.t AS bt, q.t AS nt FROM x ASOF LEFT JOIN r p ON p.device_id = x.device_id AND p.t < x.t ASOF LEFT JOIN r q ON q.device_id = x.device_id AND q.t >= x.t),
        d AS (SELECT device_id, CASE WHEN bt IS NOT NULL AND (nt IS NULL OR t - bt <= nt - t) THEN bt ELSE nt END - t AS off FROM b),
        k AS (SELECT device_id, off, row_number() OVER (PARTITION BY device_id ORDER BY off) - 1 AS i, count(*) OVER (PARTITION BY device_id) AS n FROM d WHERE off IS NOT NULL AND abs(off) < 172800)
        SELECT device_id, max(CASE WHEN i = n // 2 THEN off END)::BIGINT AS offset_s FROM k GROUP BY 1""",
@@ -166,10 +166,9 @@ def chase(pointers: DataFrame, most_hops: int = 10) -> DataFrame:
 def clock_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Upper median of the offsets of a clock to the nearest reference shot within two days."""
     rows = pings(spark, sf_dir)
-    day = F.floor(F.col("t") / 86400)
-    fixes = rows.where("id % 2 = 0").withColumn("day", day)
-    targets = rows.where("id % 2 = 1").withColumn("t", F.col("t") + 37).withColumn("day", day).select("device_id", "day", "id", "t")
-    off = nearest(bracket(targets, fixes, ["device_id", "day"]), 172_799).select("device_id", (F.col("fix.t") - F.col("t")).alias("off"))
+    fixes = rows.where("id % 2 = 0")
+    targets = rows.where("id % 2 = 1").withColumn("t", F.col("t") + 37).select("device_id", "id", "t")
+    off = nearest(bracket(targets, fixes, ["device_id"]), 172_799).select("device_id", (F.col("fix.t") - F.col("t")).alias("off"))
     inside = Window.partitionBy("device_id")
     placed = off.withColumns({"i": F.row_number().over(inside.orderBy("off")) - 1, "n": F.count(F.lit(1)).over(inside)})
     return placed.groupBy("device_id").agg(F.max(F.when(F.col("i") == F.floor(F.col("n") / 2), F.col("off"))).alias("offset_s"))

@@ -9,10 +9,12 @@ from ..functions import media
 from ..functions.geo import geo_cell, haversine_km
 from ..functions.text import extension, file_name, file_stem, normalized_stem, parent_dir
 from ..operators.asof import bracket, locate, nearest
+from ..operators.timestamps import parsed
 from ..operators.range_join import block_pairs, near_pairs_in_time, range_join
+from ..operators.skew import blocked_join
 from ..operators.tiered import classify_files, roll_up
 from ..session import table
-from .registry import inbound, ledger, library, members, pings, query, size_class
+from .registry import inbound, ledger, library, members, pings, query
 
 _TIERS_SQL = """
     SELECT i.path, i.size_bytes,
@@ -301,40 +303,40 @@ def pair_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "unique_interval_match",
-    """WITH face AS (SELECT id, filename, size_bytes, w.epoch FROM inbound i
-           JOIN (SELECT DISTINCT id AS k, taken_at FROM asset_inbox) x ON x.k = i.id
-           LEFT JOIN wall w ON w.taken_at IS NOT DISTINCT FROM x.taken_at),
-       lib AS (SELECT id AS asset_id, regexp_extract(path, '[^/]*$') AS filename, bytes // 250000 AS bytes, epoch FROM ledger),
+    """WITH face AS (SELECT i.id, i.filename, i.size_bytes, w.epoch FROM inbound i LEFT JOIN wall w ON w.taken_at IS NOT DISTINCT FROM i.taken_at),
+       lib AS (SELECT id AS asset_id, regexp_extract(path, '[^/]*$') AS filename, bytes, epoch FROM ledger WHERE status IN ('canonical', 'promoted')),
        near AS (SELECT f.id, min(l.asset_id) AS asset_id FROM face f JOIN lib l
            ON l.bytes = f.size_bytes AND abs(l.epoch - f.epoch) <= 5 GROUP BY f.id HAVING count(DISTINCT l.asset_id) = 1),
        named AS (SELECT f.id, min(l.asset_id) AS asset_id FROM face f JOIN lib l
-           ON l.bytes = f.size_bytes AND l.filename = f.filename GROUP BY f.id HAVING count(*) = 1)
+           ON l.bytes = f.size_bytes AND l.filename = f.filename GROUP BY f.id HAVING count(DISTINCT l.asset_id) = 1)
        SELECT f.id, coalesce(n.asset_id, m.asset_id) AS asset_id FROM (SELECT DISTINCT id FROM face) f
        LEFT JOIN near n ON n.id = f.id LEFT JOIN named m ON m.id = f.id
        WHERE coalesce(n.asset_id, m.asset_id) IS NOT NULL""",
     "wall ledger inbound",
 )
 def unique_interval_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The asset of equal size within 5 s if there is one only, else the only one of that size and name."""
-    from ..operators.timestamps import parsed
-
-    faces = table(spark, sf_dir, "asset_inbox").select("id", "path", "bytes", "taken_at").distinct().select(
-        "id",
-        file_name(F.col("path")).alias("filename"),
-        size_class().alias("size"),
-        parsed(F.col("taken_at"), wall_only=True)["secs"].alias("at"),
+    """The accepted asset of equal size within 5 s if there is one only, else the only one of that size and name."""
+    faces = inbound(spark, sf_dir).select(
+        "id", "filename", F.col("size_bytes").alias("size"), parsed(F.col("taken_at"), wall_only=True)["secs"].alias("at")
     )
-    known = ledger(spark, sf_dir).select(
-        F.col("id").alias("asset_id"), file_name(F.col("path")).alias("name"), size_class().alias("size"), "epoch"
+    known = ledger(spark, sf_dir).where(F.col("status").isin("canonical", "promoted")).select(
+        F.col("id").alias("asset_id"), file_name(F.col("path")).alias("filename"), F.col("bytes").alias("size"), "epoch"
     )
-    met = faces.join(known, "size").groupBy("id").agg(
-        F.count_distinct(F.when(F.abs(F.col("at") - F.col("epoch")) <= 5, F.col("asset_id"))).alias("near"),
-        F.min(F.when(F.abs(F.col("at") - F.col("epoch")) <= 5, F.col("asset_id"))).alias("near_id"),
-        F.count_if(F.col("filename") == F.col("name")).alias("named"),
-        F.min(F.when(F.col("filename") == F.col("name"), F.col("asset_id"))).alias("named_id"),
-    )
-    chosen = F.when(F.col("near") == 1, F.col("near_id")).when(F.col("named") == 1, F.col("named_id"))
-    return met.select("id", chosen.alias("asset_id")).where("asset_id is not null")
+    return unique_match(faces, known, 5)
+
+
+def unique_match(faces: DataFrame, known: DataFrame, seconds: float) -> DataFrame:
+    """id, asset_id: the only known record (asset_id, filename, size, epoch) of a face's (id, filename, size, at) size and time,
+    else the only one of its size and name.
+
+    Names are counted per size before they are joined; times meet in buckets of equal size.
+    """
+    met = range_join(faces.select("id", "size", "at"), known.select("asset_id", "size", "epoch"), "at", "epoch", seconds, ["size"])
+    near = met.groupBy("id").agg(F.count_distinct("asset_id").alias("n"), F.min("asset_id").alias("near_id")).where("n = 1")
+    only = known.groupBy("size", "filename").agg(F.count_distinct("asset_id").alias("m"), F.min("asset_id").alias("named_id")).where("m = 1")
+    named = faces.join(only, ["size", "filename"]).groupBy("id").agg(F.min("named_id").alias("named_id"))
+    both = near.select("id", "near_id").join(named, "id", "full")
+    return both.select("id", F.coalesce("near_id", "named_id").alias("asset_id"))
 
 
 @query(
@@ -367,15 +369,14 @@ def nearest_box(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _targets_and_fixes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    points = pings(spark, sf_dir).withColumn("day", F.floor(F.col("t") / 86400))
-    return points.where("id % 3 = 0").select("device_id", "day", "id", "t"), points.where("id % 3 <> 0")
+    points = pings(spark, sf_dir)
+    return points.where("id % 3 = 0").select("device_id", "id", "t"), points.where("id % 3 <> 0")
 
 
-_ASOF_SQL = """p AS (SELECT *, floor(t / 86400.0)::BIGINT AS day FROM pings),
-    f AS (SELECT * FROM p WHERE id % 3 <> 0), g AS (SELECT * FROM p WHERE id % 3 = 0),
+_ASOF_SQL = """f AS (SELECT * FROM pings WHERE id % 3 <> 0), g AS (SELECT * FROM pings WHERE id % 3 = 0),
     b AS (SELECT g.id, g.t, x.t AS bt, x.lat AS blat, x.lon AS blon, y.t AS nt, y.lat AS alat, y.lon AS alon
-        FROM g ASOF LEFT JOIN f x ON x.device_id = g.device_id AND x.day = g.day AND x.t < g.t
-        ASOF LEFT JOIN f y ON y.device_id = g.device_id AND y.day = g.day AND y.t >= g.t)"""
+        FROM g ASOF LEFT JOIN f x ON x.device_id = g.device_id AND x.t < g.t
+        ASOF LEFT JOIN f y ON y.device_id = g.device_id AND y.t >= g.t)"""
 
 
 @query(
@@ -387,7 +388,7 @@ _ASOF_SQL = """p AS (SELECT *, floor(t / 86400.0)::BIGINT AS day FROM pings),
 )
 def asof_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     targets, fixes = _targets_and_fixes(spark, sf_dir)
-    return nearest(bracket(targets, fixes, ["device_id", "day"]), 300).select("id", F.col("fix.t").alias("fix_t"))
+    return nearest(bracket(targets, fixes, ["device_id"]), 300).select("id", F.col("fix.t").alias("fix_t"))
 
 
 @query(
@@ -408,7 +409,7 @@ def asof_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def bracket_locate(spark: SparkSession, sf_dir: str) -> DataFrame:
     targets, fixes = _targets_and_fixes(spark, sf_dir)
-    found = locate(bracket(targets, fixes, ["device_id", "day"])).where("confidence is not null")
+    found = locate(bracket(targets, fixes, ["device_id"])).where("confidence is not null")
     return found.select("id", "confidence", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"))
 
 
@@ -494,7 +495,7 @@ def nearest_place(points: DataFrame, places: DataFrame, most_km: float) -> DataF
         low, high = F.floor((value - most_km) / side), F.floor((value + most_km) / side)
         reach = reach.withColumn(name, F.explode(F.sequence(low, high)))
     km = haversine_km(F.col("gps_lat"), F.col("gps_lon"), F.col("plat"), F.col("plon"))
-    met = home.join(reach, ["x", "y", "z"]).withColumn("km", km).where(F.col("km") <= most_km)
+    met = blocked_join(home, reach, ["x", "y", "z"]).withColumn("km", km).where(F.col("km") <= most_km)
     best = met.groupBy("id").agg(F.min(F.struct("km", "city")).alias("best"))
     return best.select("id", F.col("best.city").alias("city"), F.round("best.km", 6).alias("km"))
 

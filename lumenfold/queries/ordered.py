@@ -105,21 +105,21 @@ def event_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "cue_loops",
-    """WITH c AS (SELECT user_id, event_id, CASE WHEN event_id % 11 = 0 THEN '' WHEN (event_id // 9) % 3 = 0 THEN 'same words' ELSE event_type END AS cue FROM events),
-       m AS (SELECT *, CASE WHEN cue = '' OR cue IS DISTINCT FROM lag(cue) OVER w THEN 1 ELSE 0 END AS ch FROM c WINDOW w AS (ORDER BY event_id)),
-       r AS (SELECT *, sum(ch) OVER (ORDER BY event_id) AS run FROM m)
-       SELECT event_id, n AS run_length FROM (SELECT event_id, cue, count(*) OVER (PARTITION BY run) AS n,
-           row_number() OVER (PARTITION BY run ORDER BY event_id) AS i FROM r) WHERE cue <> '' AND n >= 6 AND i > 1""",
+    """WITH c AS (SELECT user_id, event_id, CASE WHEN event_id % 11 = 0 THEN '' WHEN event_id % 7 < 5 THEN 'same words' ELSE event_type END AS cue FROM events),
+       m AS (SELECT *, CASE WHEN cue = '' OR cue IS DISTINCT FROM lag(cue) OVER w THEN 1 ELSE 0 END AS ch FROM c WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+       r AS (SELECT *, sum(ch) OVER (PARTITION BY user_id ORDER BY event_id) AS run FROM m)
+       SELECT event_id, n AS run_length FROM (SELECT event_id, cue, count(*) OVER (PARTITION BY user_id, run) AS n,
+           row_number() OVER (PARTITION BY user_id, run ORDER BY event_id) AS i FROM r) WHERE cue <> '' AND n >= 3 AND i > 1""",
 )
 def cue_loops(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Repeats of six or more equal cues but the first; cues stand in one file per block of ids."""
+    """Repeats of three or more equal cues but the first; the cues of a user stand in one file."""
     cue = (
         F.when(F.col("event_id") % 11 == 0, "")
-        .when(F.floor(F.col("event_id") / 9) % 3 == 0, "same words")
+        .when(F.col("event_id") % 7 < 5, "same words")
         .otherwise(F.col("event_type"))
     )
-    rows = table(spark, sf_dir, "events").select("event_id", cue.alias("cue"), F.lit(0).alias("file"))
-    return repeated_runs(rows, ["file"], "event_id", "cue", 6).where("in_loop").select("event_id", "run_length")
+    rows = table(spark, sf_dir, "events").select("event_id", cue.alias("cue"), F.col("user_id").alias("file"))
+    return repeated_runs(rows, ["file"], "event_id", "cue", 3).where("in_loop").select("event_id", "run_length")
 
 
 @query(

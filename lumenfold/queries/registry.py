@@ -30,13 +30,14 @@ ENTITIES = {
         FROM (SELECT DISTINCT * FROM asset) a LEFT JOIN wall w ON w.taken_at IS NOT DISTINCT FROM a.taken_at)""",
     "members": """members AS (SELECT DISTINCT cluster_id, asset_id FROM membership)""",
     "library": """library AS (
-        SELECT id AS asset_id, regexp_extract(path, '[^/]*$') AS filename, bytes // 250000 AS size_bytes,
+        SELECT id AS asset_id, regexp_extract(path, '[^/]*$') AS filename, bytes AS size_bytes,
             CASE WHEN phash IS NOT NULL THEN sha1(phash::VARCHAR) END AS checksum
         FROM ledger WHERE status IN ('canonical', 'promoted'))""",
     "inbound": """inbound AS (
-        SELECT DISTINCT id, path, regexp_extract(path, '[^/]*$') AS filename, bytes // 250000 AS size_bytes,
-            CASE WHEN phash IS NOT NULL THEN sha1(phash::VARCHAR) END AS checksum
-        FROM asset_inbox)""",
+        SELECT DISTINCT id, path, regexp_extract(path, '[^/]*$') AS filename, bytes AS size_bytes,
+            CASE WHEN phash IS NOT NULL THEN sha1(phash::VARCHAR) END AS checksum, taken_at
+        FROM (SELECT id, path, bytes, phash, taken_at FROM asset_inbox UNION ALL
+              SELECT id, path, bytes, phash, taken_at FROM asset WHERE status NOT IN ('canonical', 'promoted')))""",
     "pings": """pings AS (
         SELECT device_id, t, min(lat) AS lat, min(lon) AS lon, min(id) AS id FROM (
             SELECT device_id, point_id AS id, epoch_us(shot_when) / 1000000 AS t, lat, lon FROM (
@@ -80,27 +81,24 @@ def content_key() -> Column:
     return F.sha1(F.col("phash").cast("string").cast("binary"))
 
 
-def size_class() -> Column:
-    """Stands for the file size: re-sent files differ by a few bytes in these tables."""
-    return F.floor(F.col("bytes") / 250_000)
-
-
 def library(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Accepted records as a library snapshot: asset_id, filename, size_bytes, checksum."""
     rows = table(spark, sf_dir, "asset").where(F.col("status").isin("canonical", "promoted")).distinct()
     return rows.select(
-        F.col("id").alias("asset_id"), file_name(F.col("path")).alias("filename"), size_class().alias("size_bytes"),
+        F.col("id").alias("asset_id"), file_name(F.col("path")).alias("filename"), F.col("bytes").alias("size_bytes"),
         content_key().alias("checksum"),
     )
 
 
 def inbound(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Arrivals as inbound files: id, path, filename, size_bytes, checksum."""
+    """Arrivals, and ledger records that are not accepted yet, as inbound files: id, path, filename, size_bytes, checksum, taken_at."""
+    columns = ["id", "path", "bytes", "phash", "taken_at"]
+    waiting = table(spark, sf_dir, "asset").where(~F.col("status").isin("canonical", "promoted")).select(*columns)
     return (
-        table(spark, sf_dir, "asset_inbox")
+        table(spark, sf_dir, "asset_inbox").select(*columns).unionByName(waiting)
         .select(
-            "id", "path", file_name(F.col("path")).alias("filename"), size_class().alias("size_bytes"),
-            content_key().alias("checksum"),
+            "id", "path", file_name(F.col("path")).alias("filename"), F.col("bytes").alias("size_bytes"),
+            content_key().alias("checksum"), "taken_at",
         )
         .distinct()
     )

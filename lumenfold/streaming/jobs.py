@@ -34,13 +34,15 @@ def register_stream(spark: SparkSession, source: DataFrame, ledger: str, checkpo
         fresh = batch.where(F.col("mtime") <= F.lit(now - settle_s)).groupBy("path").agg(
             F.min("bytes").alias("bytes"), F.min("mtime").alias("mtime")
         ).withColumn("part", parts)
+        # At most 64 part numbers; as a filter they keep the other folders of the ledger unread.
+        touched = [row["part"] for row in fresh.select("part").distinct().collect()]
         try:
-            old = batch.sparkSession.read.parquet(ledger).select("path", "part")
+            old = batch.sparkSession.read.parquet(ledger).where(F.col("part").isin(touched)).select("path", "part")
             fresh = fresh.join(old, ["part", "path"], "left_anti").select("path", "bytes", "mtime", "part")
         except Exception as error:  # the ledger does not exist yet
             if "PATH_NOT_FOUND" not in str(error) and "UNABLE_TO_INFER_SCHEMA" not in str(error):
                 raise
-        fresh.write.mode("append").partitionBy("part").parquet(ledger)
+        fresh.repartition("part").sortWithinPartitions("path").write.mode("append").partitionBy("part").parquet(ledger)
 
     return source.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -117,7 +119,7 @@ def stream_sessions(points: DataFrame, key: str, gap_s: float, most_km: float =
                     if t - held[1] > gap_s or 12742.0 * asin(sqrt(min(1.0, half))) > most_km:
                         close(held)
                         held = None
-                held = (t, t, 1, lat, lon) if held is None else (held[0], t, held[2] + 1, held[3] + lat, held[4] + lon)
+                held = (t, t, 1, lat, lon) if held is None else (held[0], max(held[1], t), held[2] + 1, held[3] + lat, held[4] + lon)
             state.update(held)
             state.setTimeoutTimestamp(int((held[1] + gap_s) * 1000) + 1)
         yield pd.DataFrame(rows, columns=[key, "start", "end", "size"])

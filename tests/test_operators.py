@@ -81,6 +81,48 @@ def test_components_of_a_long_chain(spark):
     assert {found[n] for n in range(120)} == {0} and found[501] == 500 and 7 in found
 
 
+def test_bracket_spans_slots_and_matches_brute_force(spark):
+    rng = random.Random(7)
+    fixes = [(rng.choice("ab"), rng.randrange(0, 400_000), rng.random(), 1.0) for _ in range(60)] + [("a", None, 1.0, 1.0), (None, 5, 1.0, 1.0)]
+    targets = [(rng.choice("abc"), n, rng.randrange(0, 400_000)) for n in range(200)] + [("a", 900, fixes[0][1])]
+    df = bracket(
+        spark.createDataFrame(targets, "d string, id int, t bigint"), spark.createDataFrame(fixes, "d string, t bigint, lat double, lon double"), ["d"], slot=5_000
+    )
+    found = {r["id"]: (r["before"] and r["before"]["t"], r["after"] and r["after"]["t"]) for r in df.collect()}
+    for d, n, t in targets:
+        times = [x for k, x, _, _ in fixes if k == d and x is not None]
+        assert found[n] == (max((x for x in times if x < t), default=None), min((x for x in times if x >= t), default=None))
+
+
+def test_components_in_small_lots(spark):
+    rng = random.Random(5)
+    for nodes, count in ((60, 50), (400, 380), (200, 600)):
+        edges = [(rng.randrange(nodes), rng.randrange(nodes)) for _ in range(count)] + [(0, n) for n in range(0, nodes, 9)]
+        group = list(range(nodes))
+
+        def top(n):
+            while group[n] != n:
+                n = group[n]
+            return n
+
+        for a, b in edges:
+            a, b = top(a), top(b)
+            group[max(a, b)] = min(a, b)
+        linked = {n for a, b in edges if a != b for n in (a, b)}
+        frame = spark.createDataFrame(edges, "a int, b int").repartition(3)
+        assert dict(rows_of(components(frame, "a", "b", task_edges=15))) == {n: top(n) for n in linked}
+
+
+def test_unique_match(spark):
+    from lumenfold.queries.joins import unique_match
+
+    faces = spark.createDataFrame([(1, "a", 10, 100), (2, "a", 10, 500), (3, "b", 11, None), (4, "c", None, 100), (5, "d", 12, 7)], "id int, filename string, size bigint, at bigint")
+    known = spark.createDataFrame(
+        [(51, "x", 10, 103), (52, "a", 10, 900), (53, "b", 11, 5), (54, "d", 12, 7), (55, "d", 12, 8)], "asset_id int, filename string, size bigint, epoch bigint"
+    )
+    assert rows_of(unique_match(faces, known, 5)) == {(1, 51), (2, 52), (3, 53)}
+
+
 def test_event_sweep_against_a_plain_loop(spark):
     rng = random.Random(2)
     rows, t, lat = [], 0, 0.0

@@ -107,6 +107,21 @@ def test_streamed_sessions_equal_the_batch(spark, tmp_path):
     assert {s for (s,) in rows_of(spark.table("sessions"), "size")} == want
 
 
+def test_late_points_do_not_move_an_event_back(spark, tmp_path):
+    start = 1_700_000_000
+    source = tmp_path / "in"
+    source.mkdir()
+    schema = "k string, t timestamp, lat double, lon double"
+    batches = [[(0, 10.0), (6000, 10.0)], [(3000, 10.0), (12_000, 10.0)], [(900_000, 10.0)]]
+    for n, batch in enumerate(batches):
+        rows = spark.createDataFrame([("k", start + t, lat, 5.0) for t, lat in batch], "k string, t bigint, lat double, lon double")
+        rows.select("k", F.timestamp_seconds("t").alias("t"), "lat", "lon").coalesce(1).write.mode("append").parquet(str(source))
+        stream = spark.readStream.schema(schema).parquet(str(source))
+        query = jobs.stream_sessions(stream, "k", 14_400).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "cp"))
+        query.option("path", str(tmp_path / "out")).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    assert rows_of(spark.read.parquet(str(tmp_path / "out")).selectExpr("unix_seconds(end)", "size")) == {(start + 12_000, 4)}
+
+
 def test_windows_of_a_stream_equal_the_batch(spark, tmp_path, data_dir):
     events = spark.read.parquet(f"{data_dir}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
     source = tmp_path / "in"
