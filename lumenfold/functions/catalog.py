@@ -41,7 +41,7 @@ def file_camera(make: Column, model: Column, path: Column) -> Column:
 def is_device_encoder(encoder: Column) -> Column:
     """True if an encoder string names a device and not a muxer."""
     tidy = F.btrim(encoder)
-    return F.coalesce((tidy != "") & ~tidy.rlike(r"(?i)^(lavf|libav|x26[45]|ffmpeg|handbrake|gopro)"), F.lit(False))
+    return F.coalesce((tidy != "") & ~tidy.rlike(MUXER_PATTERN), F.lit(False))
 
 
 def is_ai_text(description: Column) -> Column:
@@ -142,3 +142,76 @@ def gpx_text(points: Column) -> Column:
         "",
     )
     return F.concat(F.lit('<gpx version="1.1"><trk><trkseg>'), body, F.lit("</trkseg></trk></gpx>"))
+
+
+#: Encoder strings of software, makes that record no sound, and camera codes with their names.
+MUXER_PATTERN = r"(?i)^(lavf|libav|x26[45]|ffmpeg|handbrake|gopro)"
+SILENT_MAKES = ("dji",)
+DEVICE_NAMES = {
+    "FC3170": ("DJI", "Mavic Air 2"),
+    "FC3582": ("DJI", "Mini 3 Pro"),
+    "FC8282": ("DJI", "Air 3"),
+    "FC8482": ("DJI", "Mini 4 Pro"),
+    "FC9313": ("DJI", "Mini 5 Pro"),
+    "L2D-20c": ("DJI", "Mavic 3"),
+    "FC4170": ("DJI", "Mavic 3 Tele"),
+    "AC002": ("DJI", "Osmo Action 3"),
+    "DJIMavic3Cine": ("DJI", "Mavic 3 Cine"),
+    "DJI Mini4 Pro": ("DJI", "Mini 4 Pro"),
+    "DJI Mini3 Pro": ("DJI", "Mini 3 Pro"),
+    "DJI Mini5Pro": ("DJI", "Mini 5 Pro"),
+}
+DEVICE_PREFIXES = ("FC", "L2D", "DJI")
+
+
+def device(make: Column, model: Column, encoder: Column) -> Column:
+    """struct(make, model): the model, else an encoder that names a device, with known codes by their names.
+
+    Codes match in any letter case; an unknown code of a known family gives the make only.
+    """
+    make = F.nullif(F.btrim(make), F.lit(""))
+    model = F.coalesce(F.nullif(F.btrim(model), F.lit("")), F.when(is_device_encoder(encoder), F.btrim(encoder)))
+    known = F.create_map(*(F.lit(v) for code, (maker, name) in DEVICE_NAMES.items() for v in (code.lower(), name)))
+    makers = F.create_map(*(F.lit(v) for code, (maker, name) in DEVICE_NAMES.items() for v in (code.lower(), maker)))
+    code = F.lower(model)
+    family = F.lit(False)
+    for prefix in DEVICE_PREFIXES:
+        family = family | F.upper(model).startswith(prefix)
+    return F.struct(
+        F.coalesce(make, makers[code], F.when(family, "DJI")).alias("make"), F.coalesce(known[code], model).alias("model")
+    )
+
+
+def camera_key(make: Column, model: Column) -> Column:
+    """Make and model as one key, null if both are blank."""
+    return F.nullif(F.btrim(F.concat_ws(" ", F.btrim(make), F.btrim(model))), F.lit(""))
+
+
+def name_prefix(path: Column) -> Column:
+    """The letters and underscores that a file name begins with, in capitals."""
+    return F.nullif(F.upper(F.regexp_extract(file_name(path), r"^([A-Za-z]+)", 1)), F.lit(""))
+
+
+def clamp_language(detected: Column, candidates: tuple[str, ...]) -> Column:
+    """The detected language if it is a candidate, else the first candidate; null stays null."""
+    if not candidates:
+        return detected
+    return F.when(detected.isin(*candidates), detected).when(detected.isNotNull(), F.lit(candidates[0]))
+
+
+def is_silent_make(make: Column) -> Column:
+    """True for makes whose videos hold no sound."""
+    out = F.lit(False)
+    for prefix in SILENT_MAKES:
+        out = out | F.lower(F.btrim(make)).startswith(prefix)
+    return F.coalesce(out, F.lit(False))
+
+
+def open_for_caption(description: Column) -> Column:
+    """Whether the side-by-side captioner queues a file: only without text, or with text of its own kind."""
+    return (F.coalesce(F.btrim(description), F.lit("")) == "") | is_ai_text(description)
+
+
+def replaceable_caption(description: Column, path: Column) -> Column:
+    """Whether the one-by-one captioner writes: what cameras write may be replaced as well."""
+    return open_for_caption(description) | is_camera_text(description, path)

@@ -83,3 +83,61 @@ def format_delta(seconds: Column) -> Column:
 
 def has_zone_suffix(text: Column) -> Column:
     return F.coalesce(F.btrim(text).rlike(r"(?:Z|[+-]\d{2}:?\d{2})$"), F.lit(False))
+
+
+#: Seconds from 1970 to 2001, and the years of a believable tag.
+EPOCH_2001 = 978_307_200
+LEAST_TAG_YEAR, LAST_TAG_YEAR = 1970, 2100
+#: The order in which tags are asked for a date, by two stages.
+AUTHORITY_TAGS = ("XMP:DateTimeOriginal", "EXIF:DateTimeOriginal", "QuickTime:CreateDate", "EXIF:CreateDate", "EXIF:ModifyDate")
+INGEST_TAGS = ("EXIF:DateTimeOriginal", "XMP:DateTimeOriginal", "QuickTime:CreateDate", "EXIF:CreateDate")
+
+
+def timestamp_2001(seconds: Column) -> Column:
+    """Instant of seconds since 2001."""
+    return F.timestamp_seconds(seconds + EPOCH_2001)
+
+
+def tag_time(text: Column) -> Column:
+    """struct(secs, kind) of ``yyyy:MM:dd HH:mm:ss`` with or without ±HH:MM; null outside the believable years.
+
+    kind utc: secs is the instant; local: secs is the wall clock.
+    """
+    tidy = F.btrim(text)
+    offset = F.regexp_extract(tidy, r"^.{19}.*([+-]\d{2}:\d{2})$", 1)
+    wall = F.when(offset != "", F.btrim(F.regexp_replace(tidy, r"[+-]\d{2}:\d{2}$", ""))).otherwise(tidy)
+    when = F.when(wall.rlike(r"^\d{4}:\d{2}:\d{2} \d{2}:\d{2}:\d{2}$"), F.try_to_timestamp(wall, F.lit("yyyy:MM:dd HH:mm:ss")))
+    size = F.substring(offset, 2, 2).cast("int") * 3600 + F.substring(offset, 5, 2).cast("int") * 60
+    east = F.when(offset.startswith("-"), -size).otherwise(size)
+    return F.when(
+        F.year(when).between(LEAST_TAG_YEAR, LAST_TAG_YEAR),
+        F.struct(
+            F.when(offset != "", F.unix_seconds(when) - east).otherwise(F.unix_seconds(when)).alias("secs"),
+            F.when(offset != "", "utc").otherwise("local").alias("kind"),
+        ),
+    )
+
+
+def first_tag_time(tags: Column, keys: tuple[str, ...] = INGEST_TAGS) -> Column:
+    """The first readable tag_time among tags, in the order of ``keys``."""
+    return F.coalesce(*(tag_time(tags[key]) for key in keys))
+
+
+def capture_time(telemetry: Column, embedded: Column, named: Column, container: Column) -> Column:
+    """struct(secs, source, kind): telemetry (an instant), embedded tag_time, name (wall clock), container (an instant)."""
+
+    def step(secs: Column, source: str, kind: Column) -> Column:
+        return F.when(secs.isNotNull(), F.struct(secs.alias("secs"), F.lit(source).alias("source"), kind.alias("kind")))
+
+    return F.coalesce(
+        step(telemetry, "telemetry", F.lit("utc")),
+        step(embedded["secs"], "embedded", embedded["kind"]),
+        step(named, "name", F.lit("local")),
+        step(container, "container", F.lit("utc")),
+    )
+
+
+def date_key(path: Column, months: bool = False) -> Column:
+    """The yyyyMMdd (or yyyyMM) written in a file name between underscores or hyphens, else null."""
+    found = F.regexp_extract(path, r"(?:^|[/_-])(20\d{6})[_-][^/]*$", 1)
+    return F.nullif(F.left(found, F.lit(6)) if months else found, F.lit(""))

@@ -160,3 +160,25 @@ def marker_key(description: Column, marker: str) -> Column:
     """The key after ``marker`` at the start of a line; null if absent or blank."""
     found = F.regexp_extract(description, r"(?m)^\s*" + marker + r"([^\n]*)$", 1)
     return F.nullif(F.btrim(found), F.lit(""))
+
+
+def notes_body(text: Column, hint: str) -> Column:
+    """The text below the front matter, without a leading heading and without hint paragraphs.
+
+    A hint is a paragraph in underscores that holds ``hint``; paragraphs are set apart by
+    one blank line.
+    """
+    body = F.regexp_replace(F.regexp_replace(text, r"\r\n?", "\n"), r"(?s)\A---[ \t]*\n.*?\n---[ \t]*(?:\n|\z)", "")
+    bare = F.regexp_replace(F.regexp_replace(body, r"\A\s*\n", ""), r"\A# [^\n]*(?:\n|\z)", "")
+    paragraphs = F.filter(F.split(bare, r"\n[ \t]*(?:\n[ \t]*)+"), lambda p: F.btrim(p, F.lit(" \t\n")) != "")
+    tidy = F.transform(paragraphs, lambda p: F.btrim(p, F.lit("\n")))
+    kept = F.filter(tidy, lambda p: ~(F.btrim(p).startswith("_") & F.btrim(p).endswith("_") & p.contains(hint)))
+    return F.btrim(F.array_join(kept, "\n\n"), F.lit(" \t\n"))
+
+
+def rewrite_paths(text: Column, renamed: dict[str, str]) -> Column:
+    """``text`` (plain or JSON) with whole path parts renamed, one name after another."""
+    for old, new in renamed.items():
+        part = "/" + "".join("\\" + c if c in r"\.^$|?*+()[]{}" else c for c in old)
+        text = F.regexp_replace(text, part + r"(?=[/\n\"']|$)", "/" + new.replace("\\", "\\\\").replace("$", "\\$"))
+    return text

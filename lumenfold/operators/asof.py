@@ -27,7 +27,10 @@ def bracket(targets: DataFrame, fixes: DataFrame, keys: list[str], slot: float =
         fixes.select(*keys, "t", F.lit(1).alias("is_fix"), F.lit(None).cast(targets.schema["id"].dataType).alias("id"), point.alias("fix"))
     )
     rows = rows.withColumn("__slot", F.floor(F.col("t") / F.lit(slot)))
-    ends = rows.groupBy(*keys, "__slot").agg(F.min("fix").alias("__first"), F.max("fix").alias("__last"))
+    latest = F.max(F.when(F.col("fix").isNotNull(), F.struct(F.col("fix.t").alias("t"), (-F.col("fix.lat")).alias("lat"), (-F.col("fix.lon")).alias("lon"))))
+    ends = rows.groupBy(*keys, "__slot").agg(F.min("fix").alias("__first"), latest.alias("l")).withColumn(
+        "__last", F.when(F.col("l").isNotNull(), F.struct(F.col("l.t").alias("t"), (-F.col("l.lat")).alias("lat"), (-F.col("l.lon")).alias("lon")))
+    )
     in_order, backwards = Window.partitionBy(*keys).orderBy("__slot"), Window.partitionBy(*keys).orderBy(F.desc("__slot"))
     carried = ends.select(
         *keys,

@@ -6,56 +6,142 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import merge, rules
-from ..session import table
+from ..operators.library import ZONE_TOWNS
+from ..session import Scratch, table
 from ..sources.files import front_matter, telemetry_frames
 from ..streaming import jobs
 from .registry import ledger, query
 
 
 def _media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """folder, path, tags, notes_lat, notes_lon of the ledger, tags made from its columns."""
+    """The media table of the ledger, tags made from its columns, notes by the length of the folder's name."""
     rows = table(spark, sf_dir, "asset").select(
-        "id", "path", "taken_at", "taken_src", "gps_lat", "gps_lon", "source", "mtime", "exif_fields"
+        "id", "path", "taken_at", "taken_src", "gps_lat", "gps_lon", "source", "exif_fields", "width", "height", "bytes", "media_type"
     ).distinct()
+    key = F.col("id")
+    lens = F.floor(key / 13).cast("string")
+    folder = F.when(key % 13 < 2, "/in/lens").otherwise(F.regexp_replace("path", r"/[^/]*$", ""))
+    rows = rows.withColumn("folder", folder)
+    name = (
+        F.when(key % 13 == 0, F.concat(F.lit("/in/lens/VID_20200101_000000_00_"), lens, F.lit(".insv")))
+        .when(key % 13 == 1, F.concat(F.lit("/in/lens/LRV_20200101_000000_11_"), lens, F.lit(".lrv")))
+        .when(key % 11 == 0, F.concat("folder", F.lit("/IMG_"), F.date_format(F.timestamp_seconds(1_500_000_000 + key), "yyyyMMdd_HHmmss"), F.lit(".jpg")))
+        .otherwise(F.col("path"))
+    )
+    size = F.length("folder")
     entry = lambda key, value: F.struct(F.lit(key).alias("key"), value.cast("string").alias("value"))
-    exif = F.col("taken_src") == "exif"
+    clip, both = F.col("media_type") == "video", F.col("gps_lat").isNotNull() & F.col("gps_lon").isNotNull()
     entries = F.filter(
         F.array(
-            entry("EXIF:DateTimeOriginal", F.when(exif, F.col("taken_at"))),
+            entry("EXIF:DateTimeOriginal", F.when(F.col("taken_src") == "exif", F.col("taken_at"))),
             entry("Companion:DateTime", F.when(F.col("taken_src") == "json", F.col("taken_at"))),
             entry("EXIF:ModifyDate", F.when(F.col("taken_src") == "mtime", F.col("taken_at"))),
-            entry("EXIF:GPSLatitude", F.when(F.col("id") % 2 == 0, F.col("gps_lat"))),
-            entry("EXIF:Model", F.col("source")),
+            entry("EXIF:GPSLatitude", F.when((key % 2 == 0) & both, F.col("gps_lat"))),
+            entry("Composite:GPSLatitude", F.when((key % 2 == 0) & both, F.col("gps_lat"))),
+            entry("Composite:GPSLongitude", F.when((key % 2 == 0) & both, F.col("gps_lon"))),
+            entry("Companion:Lat", F.when((key % 10 == 3) & both, F.col("gps_lat"))),
+            entry("Companion:Lon", F.when((key % 10 == 3) & both, F.col("gps_lon"))),
+            entry("EXIF:Model", F.when((size % 2 == 0) & (key % 3 == 0), F.concat("source", F.lit(" B"))).otherwise(F.col("source"))),
+            entry("QuickTime:CompressorID", F.when(clip, F.when(key % 2 == 0, "hvc1").otherwise("avc1"))),
+            entry("QuickTime:ImageWidth", F.when(clip, F.col("width"))),
+            entry("QuickTime:ImageHeight", F.when(clip, F.col("height"))),
+            entry("QuickTime:VideoFrameRate", F.when(clip, 30)),
+            entry("Composite:AvgBitrate", F.when(clip, F.col("bytes") * 8 / 10)),
             entry("MakerNotes:Any", F.when(F.col("exif_fields") > 40, F.lit("x"))),
         ),
         lambda e: e["value"].isNotNull(),
     )
-    noted = F.col("id") % 4 == 1
-    return rows.select(
-        F.regexp_replace("path", r"/[^/]*$", "").alias("folder"),
-        "path",
+    noted, anchored = size % 3 == 0, (key % 4 == 1) & both
+    media = rows.select(
+        "folder",
+        name.alias("path"),
         F.map_from_entries(entries).alias("tags"),
-        F.when(noted, F.col("gps_lat")).alias("notes_lat"),
-        F.when(noted, F.col("gps_lon")).alias("notes_lon"),
+        F.when(anchored, F.col("gps_lat")).alias("notes_lat"),
+        F.when(anchored, F.col("gps_lon")).alias("notes_lon"),
+        F.when(noted, F.concat("folder", F.lit("/TRIP.md"))).alias("notes_path"),
+        F.when(size % 6 == 0, "Europe/Berlin").alias("notes_zone"),
+        F.when(noted, F.array(F.lit("Family"), F.lit("Gear/Camera/google"))).alias("notes_tags"),
+    )
+    # The rules read a stored table, as they would read the tags of files.
+    return Scratch(spark, "media").keep(media, "media")
+
+
+_TOWNS = ", ".join(f"('{zone}', {lat}, {lon})" for zone, lat, lon in ZONE_TOWNS)
+_SIX = "printf('%.6f', round(abs({v})::DECIMAL(18, 9), 6)::DOUBLE)"
+_FOUR = "unnest(['GPSLatitude', 'GPSLatitudeRef', 'GPSLongitude', 'GPSLongitudeRef'])"
+
+
+def _four(lat: str, lon: str) -> str:
+    return (
+        f"{_FOUR}, unnest([{_SIX.format(v=lat)}, CASE WHEN {lat} >= 0 THEN 'N' ELSE 'S' END, {_SIX.format(v=lon)}, CASE WHEN {lon} >= 0 THEN 'E' ELSE 'W' END])"
     )
 
 
-_FINDINGS_SQL = """src AS (SELECT DISTINCT id, path, taken_at, taken_src, gps_lat, gps_lon, source, exif_fields, regexp_replace(path, '/[^/]*$', '') AS folder FROM asset),
-    h AS (SELECT *, left(replace(trim(taken_at), '/', ':'), 19) AS t FROM src),
-    d AS (SELECT *, CASE WHEN taken_src = 'exif' THEN coalesce(CASE WHEN regexp_matches(t, '^[0-9]{4}:[0-9]{2}:[0-9]{2} ') THEN try_strptime(t, '%Y:%m:%d %H:%M:%S') END,
-        CASE WHEN regexp_matches(t, '^[0-9]{4}-[0-9]{2}-[0-9]{2}T') THEN try_strptime(t, '%Y-%m-%dT%H:%M:%S') END) END AS e,
-        trim(coalesce(CASE WHEN id % 2 = 0 THEN gps_lat::VARCHAR END, '')) <> '' AS placed FROM h),
-    n AS (SELECT *, coalesce(year(e) >= 1970, false) AS dated FROM d),
+def _apart(a: str, b: str) -> str:
+    return f"""2 * 6371.0 * asin(sqrt(least(1.0, pow(sin(radians({b}lat - {a}lat) / 2), 2)
+        + cos(radians({a}lat)) * cos(radians({b}lat)) * pow(sin(radians({b}lon - {a}lon) / 2), 2))))"""
+
+
+_FINDINGS_SQL = f"""raw AS (SELECT DISTINCT id, path, taken_at, taken_src, gps_lat, gps_lon, source, exif_fields, width, height, bytes, media_type FROM asset),
+    src AS (SELECT * REPLACE (CASE WHEN id % 13 = 0 THEN '/in/lens/VID_20200101_000000_00_' || (id // 13) || '.insv' WHEN id % 13 = 1 THEN '/in/lens/LRV_20200101_000000_11_' || (id // 13) || '.lrv'
+          WHEN id % 11 = 0 THEN folder || '/IMG_' || strftime(make_timestamp((1500000000 + id) * 1000000), '%Y%m%d_%H%M%S') || '.jpg' ELSE path END AS path),
+          CASE WHEN length(folder) % 2 = 0 AND id % 3 = 0 THEN source || ' B' ELSE source END AS model, length(folder) AS size,
+          gps_lat IS NOT NULL AND gps_lon IS NOT NULL AS located
+        FROM (SELECT *, CASE WHEN id % 13 < 2 THEN '/in/lens' ELSE regexp_replace(path, '/[^/]*$', '') END AS folder FROM raw)),
+    h AS (SELECT *, left(replace(trim(taken_at), '/', ':'), 19) AS t, regexp_extract(path, '[^/]*$') AS f FROM src),
+    d AS (SELECT *, CASE WHEN taken_src = 'exif' THEN coalesce(CASE WHEN regexp_matches(t, '^[0-9]{{4}}:[0-9]{{2}}:[0-9]{{2}} ') THEN try_strptime(t, '%Y:%m:%d %H:%M:%S') END,
+        CASE WHEN regexp_matches(t, '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}T') THEN try_strptime(t, '%Y-%m-%dT%H:%M:%S') END) END AS e,
+        id % 2 = 0 AND located AS placed, coalesce(nullif(trim(model), ''), CASE WHEN starts_with(f, 'DJI_') THEN 'DJI' WHEN starts_with(f, 'GOPR') OR starts_with(f, 'GX01') OR starts_with(f, 'GH01') THEN 'GoPro' END) AS cam,
+        CASE WHEN size % 3 = 0 THEN folder || '/TRIP.md' END AS notes FROM h),
+    n AS (SELECT *, coalesce(year(e) >= 1970, false) AS dated, epoch(e)::BIGINT AS s FROM d),
+    good AS (SELECT folder, s AS t, min(struct_pack(lat := gps_lat, lon := gps_lon)) AS g FROM n WHERE placed AND (abs(gps_lat) >= 1e-3 OR abs(gps_lon) >= 1e-3) AND s IS NOT NULL
+        AND folder IN (SELECT folder FROM n WHERE placed AND (abs(gps_lat) >= 1e-3 OR abs(gps_lon) >= 1e-3) AND s IS NOT NULL GROUP BY 1 HAVING count(*) >= 5) GROUP BY folder, s),
+    want AS (SELECT folder, path, s AS t FROM n WHERE s IS NOT NULL AND NOT (placed AND (abs(gps_lat) >= 1e-3 OR abs(gps_lon) >= 1e-3))),
+    near AS (SELECT w.path, w.t, x.t AS bt, x.g.lat AS blat, x.g.lon AS blon, y.t AS nt, y.g.lat AS alat, y.g.lon AS alon FROM want w
+        ASOF LEFT JOIN good x ON x.folder = w.folder AND x.t < w.t ASOF LEFT JOIN good y ON y.folder = w.folder AND y.t >= w.t),
+    gaps AS (SELECT *, least(t - bt, nt - t) AS gap, coalesce(nt - bt <= 21600, false) AS closed, {_apart("b", "a")} AS km,
+        CASE WHEN nt > bt THEN (t - bt) / (nt - bt)::DOUBLE ELSE 0 END AS share, (bt IS NOT NULL AND (nt IS NULL OR t - bt <= nt - t)) AS take_b FROM near),
+    found AS (SELECT path, CASE WHEN gap <= 300 THEN 'high' ELSE 'medium' END AS tier,
+        CASE WHEN gap <= 300 OR NOT closed THEN CASE WHEN take_b THEN blat ELSE alat END ELSE blat + share * (alat - blat) END AS lat,
+        CASE WHEN gap <= 300 OR NOT closed THEN CASE WHEN take_b THEN blon ELSE alon END ELSE blon + share * (alon - blon) END AS lon
+        FROM gaps WHERE gap <= 300 OR (closed AND (km <= 2 OR gap <= 5400)) OR (NOT closed AND gap <= 5400)),
+    town AS (SELECT * FROM (VALUES {_TOWNS}) v(zone, lat, lon)),
+    stated AS (SELECT notes, min(struct_pack(lat := gps_lat, lon := gps_lon)) AS g FROM n WHERE notes IS NOT NULL AND size % 6 <> 0 AND id % 4 = 1 AND located GROUP BY 1),
+    points AS (SELECT notes, g.lat AS lat, g.lon AS lon, true AS firm, 0 AS id FROM stated
+        UNION ALL SELECT notes, gps_lat, gps_lon, false, id FROM n WHERE notes IS NOT NULL AND size % 6 <> 0 AND NOT (id % 4 = 1 AND located) AND placed AND NOT (gps_lat = 0 AND gps_lon = 0)
+            AND notes NOT IN (SELECT notes FROM stated)),
+    zoned AS (SELECT p.notes, p.firm, p.id, arg_min(t.zone, ({_apart("p.", "t.")}, t.zone)) AS zone FROM points p CROSS JOIN town t GROUP BY p.notes, p.firm, p.id, p.lat, p.lon),
+    votes AS (SELECT notes, zone, count(*) AS k, row_number() OVER (PARTITION BY notes ORDER BY count(*) DESC, zone) AS r FROM zoned GROUP BY notes, zone),
+    drift AS (SELECT folder, model, median(s) AS m, count(*) AS k, count(*) FILTER (placed) AS fixes, min(path) AS seen FROM n WHERE s IS NOT NULL AND model IS NOT NULL GROUP BY folder, model HAVING count(*) >= 3),
+    ref AS (SELECT *, row_number() OVER (PARTITION BY folder ORDER BY fixes DESC, k DESC, seen) AS r, count(*) OVER (PARTITION BY folder) AS cameras FROM drift),
     f AS (
-        SELECT 'date-from-companion' AS rule, 0 AS ordinal, 'high' AS tier, path, 'DateTimeOriginal' AS field, taken_at AS value FROM n WHERE NOT dated AND taken_src = 'json' AND taken_at IS NOT NULL
-        UNION ALL SELECT 'gps-anchor', 3, 'high', path, unnest(['GPSLatitude', 'GPSLatitudeRef', 'GPSLongitude', 'GPSLongitudeRef']),
-            unnest([printf('%.6f', round(abs(gps_lat)::DECIMAL(18, 9), 6)::DOUBLE), CASE WHEN gps_lat >= 0 THEN 'N' ELSE 'S' END, printf('%.6f', round(abs(gps_lon)::DECIMAL(18, 9), 6)::DOUBLE), CASE WHEN gps_lon >= 0 THEN 'E' ELSE 'W' END])
-            FROM n WHERE NOT placed AND id % 4 = 1 AND gps_lat IS NOT NULL AND gps_lon IS NOT NULL
-        UNION ALL SELECT 'clock-drift', 4, 'medium', path, 'DateTimeOriginal', strftime(make_timestamp(floor(m)::BIGINT * 1000000), '%Y:%m:%d %H:%M:%S') FROM (
-            SELECT *, median(epoch(e)) OVER (PARTITION BY folder) AS m, count(*) OVER (PARTITION BY folder) AS k, min(source) OVER (PARTITION BY folder) AS a, max(source) OVER (PARTITION BY folder) AS b FROM n WHERE e IS NOT NULL)
-            WHERE k >= 3 AND a = b AND abs(epoch(e) - m) >= 86400
-        UNION ALL SELECT 'export-date-trap', 6, 'low', path, 'Note', 'only a modification date' FROM n WHERE NOT dated AND taken_src = 'mtime' AND taken_at IS NOT NULL
-        UNION ALL SELECT 'makernote-present', 7, 'low', path, 'MakerNote', 'present' FROM n WHERE exif_fields > 40)"""
+        SELECT 'gps-from-companion' AS rule, 0 AS ordinal, 'high' AS tier, path, {_four("gps_lat", "gps_lon").replace(", unnest([", " AS field, unnest([", 1)} AS value
+            FROM n WHERE NOT placed AND id % 10 = 3 AND located AND NOT (gps_lat = 0 AND gps_lon = 0)
+        UNION ALL SELECT 'date-from-companion', 1, 'high', path, 'DateTimeOriginal', taken_at FROM n WHERE NOT dated AND taken_src = 'json' AND taken_at IS NOT NULL
+        UNION ALL SELECT 'date-from-name', 2, 'high', path, 'DateTimeOriginal', CASE WHEN id % 13 < 2 THEN '2020:01:01 00:00:00' ELSE strftime(make_timestamp((1500000000 + id) * 1000000), '%Y:%m:%d %H:%M:%S') END
+            FROM n WHERE NOT dated AND (id % 13 = 0 OR (id % 13 > 1 AND id % 11 = 0))
+        UNION ALL SELECT 'lens-pair', 3, 'high', a.path, 'Pair', b.path FROM n a JOIN n b ON a.id // 13 = b.id // 13 AND a.id <> b.id AND a.id % 13 < 2 AND b.id % 13 < 2
+        UNION ALL SELECT 'gps-from-siblings', 5, tier, path, {_four("lat", "lon")} FROM found
+        UNION ALL SELECT 'gps-anchor', 6, 'high', path, {_four("gps_lat", "gps_lon")} FROM n WHERE NOT placed AND id % 4 = 1 AND located
+        UNION ALL SELECT 'tags-from-notes', 7, 'high', path, unnest(['HierarchicalSubject', 'Subject']),
+            unnest(CASE WHEN cam IS NULL THEN ['Family', 'Family'] WHEN contains(cam, 'google') OR contains('google', cam) THEN ['Family|Gear/Camera/google', 'Family|google']
+                ELSE ['Family|Gear/Camera/' || cam, array_to_string(list_sort(['Family', regexp_extract(cam, '[^/]*$')]), '|')] END) FROM n WHERE notes IS NOT NULL
+        UNION ALL SELECT 'zone-guess', 8, 'high', a.notes, 'timezone', a.zone FROM votes a LEFT JOIN votes b ON b.notes = a.notes AND b.r = 2 WHERE a.r = 1 AND (b.k IS NULL OR a.k >= 2 * b.k)
+        UNION ALL SELECT 'zone-suffix', 9, 'high', path, 'DateTimeOriginal', strftime(e, '%Y:%m:%d %H:%M:%S') || CASE WHEN s - epoch(timezone('Europe/Berlin', e))::BIGINT = 7200 THEN '+02:00' ELSE '+01:00' END
+            FROM n WHERE e IS NOT NULL AND size % 6 = 0 AND NOT regexp_matches(trim(taken_at), '(Z|[+-][0-9]{{2}}:?[0-9]{{2}})$')
+        UNION ALL SELECT 'clock-drift', 10, 'medium', path, 'DateTimeOriginal', strftime(make_timestamp(floor(m)::BIGINT * 1000000), '%Y:%m:%d %H:%M:%S') FROM (
+            SELECT *, median(s) OVER (PARTITION BY folder) AS m, count(*) OVER (PARTITION BY folder) AS k, min(model) OVER (PARTITION BY folder) AS a, max(model) OVER (PARTITION BY folder) AS b FROM n WHERE e IS NOT NULL)
+            WHERE k >= 3 AND a = b AND abs(s - m) >= 86400
+        UNION ALL SELECT 'camera-drift', 11, 'medium', n.path, 'DateTimeOriginal', strftime(make_timestamp(floor(n.s + r.m - c.m)::BIGINT * 1000000), '%Y:%m:%d %H:%M:%S')
+            FROM ref c JOIN ref r ON r.folder = c.folder AND r.r = 1 AND c.r > 1 JOIN n ON n.folder = c.folder AND n.model = c.model AND n.s IS NOT NULL WHERE abs(r.m - c.m) BETWEEN 300 AND 1209600
+        UNION ALL SELECT 'tags-missing', 12, 'medium', notes, 'add_tags', array_to_string(list_concat(['Events/' || regexp_extract(folder, '[^/]*$')], coalesce(list_sort(list(DISTINCT 'Source/' || p) FILTER (p <> '')), [])), '|')
+            FROM (SELECT notes, folder, upper(regexp_extract(f, '^([A-Za-z]{{1,6}})', 1)) AS p FROM n WHERE notes IS NOT NULL) GROUP BY notes, folder
+        UNION ALL SELECT 'export-date-trap', 13, 'low', path, 'Note', 'only a modification date' FROM n WHERE NOT dated AND taken_src = 'mtime' AND taken_at IS NOT NULL
+        UNION ALL SELECT 'bloat-candidate', 14, 'low', path, 'Bloat', CASE WHEN q >= 2 * lim THEN 'obscene' ELSE 'fat' END FROM (
+            SELECT *, (bytes * 8 / 10.0::DOUBLE) / (width::DOUBLE * height * 30) AS q, CASE WHEN id % 2 = 0 THEN 0.08 ELSE 0.15 END AS lim FROM n WHERE media_type = 'video' AND width > 0 AND height > 0)
+            WHERE q >= lim AND NOT regexp_matches(lower(folder), 'raw|source|edit|project|insta360') AND NOT regexp_matches(lower(path), '[.](insv|insp|lrv|lrf|mts|dng|braw)$')
+            AND NOT regexp_matches(upper(f), '^(DJI_|GX|GH|GOPR|MAH|MVI_|C0|LRV_|PRO_|DSC_|(VID|IMG)_[0-9]{{8}})')
+        UNION ALL SELECT 'makernote-present', 15, 'low', path, 'MakerNote', 'present' FROM n WHERE exif_fields > 40)"""
 
 
 @query("rule_findings", f"WITH {_FINDINGS_SQL} SELECT rule, tier, path, field, value FROM f")

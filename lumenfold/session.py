@@ -7,7 +7,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 
 _OWN_DIRS: dict[str, str] = {}
 _OPEN: dict[str, list] = {}
@@ -107,3 +107,12 @@ class Scratch:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One Parquet table of a data directory."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def observed(df: DataFrame, name: str, **measures) -> tuple[DataFrame, Observation]:
+    """``df`` with named measures (aggregate columns) that are taken while it is written, and where they can be read.
+
+    The measures cost no pass of their own; ``Observation.get`` waits for the first action.
+    """
+    seen = Observation(name)
+    return df.observe(seen, *(column.alias(key) for key, column in measures.items())), seen

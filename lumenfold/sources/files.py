@@ -144,3 +144,13 @@ def companion_json(media: DataFrame, sidecars: DataFrame) -> DataFrame:
     return met.withColumn("rank", rank).where("rank is not null").groupBy("path").agg(
         F.min_by("json_path", F.struct("rank", "json_path")).alias("json_path")
     )
+
+
+def sibling_telemetry(media: DataFrame, listing: DataFrame) -> DataFrame:
+    """path, telemetry_path: the telemetry subtitle beside each file, .SRT before .srt; other spellings do not count."""
+    stem = F.regexp_replace("path", r"\.[^./]*$", "")
+    ending = F.regexp_extract("path", r"(\.[^./]*)$", 1)
+    side = listing.where(ending.isin(".SRT", ".srt")).groupBy(stem.alias("stem")).agg(
+        F.min_by("path", F.when(ending == ".SRT", 0).otherwise(1)).alias("telemetry_path")
+    )
+    return media.select("path", stem.alias("stem")).join(side, "stem").select("path", "telemetry_path")
