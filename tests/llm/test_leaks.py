@@ -39,8 +39,9 @@ def test_against_brute_force(spark, monkeypatch):
     docs, items = example(1)
     want = brute(docs, items, 8)
     assert 5 < len(want) < 1500
-    for words in (1_000_000, 60):
+    for words, at_once in ((1_000_000, 8), (60, 3)):
         monkeypatch.setattr(leaks, "BLOCK_WORDS", words)
+        monkeypatch.setattr(leaks, "BLOCKS_AT_ONCE", at_once)
         found = find_leaks(spark.createDataFrame(docs + docs[:3], DOCS), spark.createDataFrame(items + items[:2], ITEMS), least_words=8)
         assert rows_of(found, "doc_id", "item_id") == want
 
@@ -74,6 +75,44 @@ def test_empty(spark):
 
 
 def test_longest_match():
-    automaton = Automaton([(1, list("abcde")), (2, list("xbcdy"))], 2)
+    automaton = Automaton.build([(1, list("abcde")), (2, list("xbcdy"))], 2)
     assert [(n, size) for n, size, _ in automaton.matches(list("zabcdyq"), 2)] == [(2, 2), (3, 3), (4, 4), (5, 4)]
     assert list(automaton.matches(list("bc"), 2))[0][2] == (1, 2)
+
+
+def test_automaton_against_plain_search():
+    """Longest matches and their items, on a small alphabet, in one go and in short stretches, after a round trip through bytes."""
+    import numpy as np
+
+    rng = random.Random(8)
+    for least in (1, 3):
+        items = [(n, [rng.choice("abc") for _ in range(rng.randrange(1, 14))]) for n in range(12)]
+        automaton = Automaton.load(memoryview(Automaton.build(items, least).save()))
+        inside = {tuple(w[a:b]): set() for _, w in items for a in range(len(w)) for b in range(a + 1, len(w) + 1)}
+        for n, w in items:
+            for a in range(len(w)):
+                for b in range(a + 1, len(w) + 1):
+                    inside[tuple(w[a:b])].add(n)
+        texts = [[rng.choice("abcd") for _ in range(rng.randrange(0, 60))] for _ in range(20)]
+        want = {}
+        for d, words in enumerate(texts):
+            for n in range(len(words)):
+                size = max((k for k in range(1, n + 2) if tuple(words[n + 1 - k : n + 1]) in inside), default=0)
+                if size >= least:
+                    want[d, n] = (size, tuple(sorted(inside[tuple(words[n + 1 - least : n + 1])])))
+        for d, words in enumerate(texts):
+            assert {(d, n): (size, held) for n, size, held in automaton.matches(words, least)} == {k: v for k, v in want.items() if k[0] == d}
+        for stretch in (14, 1_000):
+            leaks.STRETCH_WORDS, before = stretch, leaks.STRETCH_WORDS
+            (found,) = leaks._found([automaton], texts, 14, least)
+            leaks.STRETCH_WORDS = before
+            best: dict = {}
+            for d, n, size in zip(*(np.asarray(x).tolist() for x in found[1:4])):
+                best[d, n] = max(best.get((d, n), 0), size)
+            assert best == {k: v[0] for k, v in want.items()}
+
+
+def test_automaton_is_compact():
+    rng = random.Random(0)
+    items = [(n, [f"w{rng.randrange(20_000)}" for _ in range(200)]) for n in range(100)]
+    assert len(Automaton.build(items, 12).save()) < 150 * 20_000
