@@ -57,11 +57,23 @@ def words_of(text: str | None) -> list[str]:
     return _WORD.findall(even(text)) if text else []
 
 
+#: Codes of words seen by this process, at most KNOWN_WORDS.
+_CODES: dict[str, int] = {}
+KNOWN_WORDS = 500_000
+
+
 def word_codes(words: list[str]) -> np.ndarray:
     """A 64-bit number of each word."""
     import xxhash
 
-    return np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words), "u8", len(words))
+    found = list(map(_CODES.get, words))
+    if None in found:
+        if len(_CODES) > KNOWN_WORDS:
+            _CODES.clear()
+        for word in set(words) - _CODES.keys():
+            _CODES[word] = xxhash.xxh3_64_intdigest(word)
+        found = list(map(_CODES.get, words))
+    return np.array(found, "u8")
 
 
 class _Builder:
