@@ -190,7 +190,13 @@ def rank_of(value: Column, best_first: tuple[str, ...]) -> Column:
 
 
 def policy_dims(records: DataFrame) -> Column:
-    """Completeness, pixels, bytes, format and trust of source, as ARRAY<BIGINT>."""
+    """Completeness, pixels, bytes, format, trust of source and recency, as ARRAY<BIGINT>, in order of policy.
+
+    Recency is the file's time of change, where the records have one. It comes last, so
+    it decides the survivor only between records that are alike in all else, but a more
+    recent record is in a better layer when fields are filled.
+    """
+    recency = F.coalesce(F.floor("mtime").cast("bigint"), F.lit(-1)) if "mtime" in records.columns else F.lit(-1).cast("bigint")
     pixels = F.col("width").cast("bigint") * F.col("height").cast("bigint")
     return F.array(
         F.coalesce(F.col("exif_fields").cast("bigint"), F.lit(0)),
@@ -198,6 +204,7 @@ def policy_dims(records: DataFrame) -> Column:
         F.coalesce(F.col("bytes"), F.lit(-1)),
         F.lower("format").isin(*RAW_FORMATS).cast("bigint"),
         rank_of(F.col("source"), SOURCE_TRUST),
+        recency,
     )
 
 

@@ -102,3 +102,15 @@ def test_a_deeper_layer_with_more_fields_does_not_fill_first(spark):
     for hot_group in (4, 5_000):
         found = run(spark, [(1, 1.0)], membership, records, fields=("gps_lat",), hot_group=hot_group)
         assert rows_of(found, "keep_asset_id", "gps_lat") == {(0, 4.0)}
+
+
+def test_recent_records_fill_before_older_ones(spark):
+    """Neither of two records that lose to the survivor is better in all else; the more recent one is in a better layer than a third."""
+    schema = "id bigint, source string, path string, bytes bigint, format string, width int, height int, taken_at string, taken_src string, exif_fields int, gps_lat double, mtime double"
+    keep = (1, "originals", "/a", 100, "raw", 10, 10, None, None, 50, None, 100.0)
+    old = (2, "google", "/b", 50, "jpg", 5, 5, None, None, 20, 2.0, 50.0)
+    recent = (3, "google", "/c", 40, "jpg", 5, 5, None, None, 10, 3.0, 200.0)
+    frame = spark.createDataFrame([keep, old, recent], schema)
+    clusters, linked = spark.createDataFrame([(7,)], "id bigint"), spark.createDataFrame([(7, n) for n in (1, 2, 3)], "cluster_id bigint, asset_id bigint")
+    assert rows_of(golden_records(clusters, linked, frame, fields=("gps_lat",)), "keep_asset_id", "gps_lat") == {(1, 3.0)}
+    assert rows_of(golden_records(clusters, linked, frame.drop("mtime"), fields=("gps_lat",)), "keep_asset_id", "gps_lat") == {(1, 2.0)}
