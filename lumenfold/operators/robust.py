@@ -17,26 +17,40 @@ def first_seen_mode(df: DataFrame, keys: list[str], value: str, order: list[str]
     return best.select(*keys, F.col(f"best.{value}").alias("mode"), (-F.col("best.col1")).alias("n"))
 
 
-def ranked(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """df with n (rows of the key) and place (from 0, in order of value)."""
-    inside = Window.partitionBy(*keys)
-    return df.where(F.col(value).isNotNull()).withColumns(
-        {
-            "n": F.count(F.lit(1)).over(inside),
-            "place": F.row_number().over(inside.orderBy(value)) - 1,
-        }
-    )
+#: Value ranges into which the rows of a key are counted before one is looked at in order.
+RANGES = 256
+
 
+def values_at(df: DataFrame, keys: list[str], value: str, places: dict[str, Column]) -> DataFrame:
+    """keys, n and, by name, the value at each place (from 0, a column over n) of the sorted values.
 
-def at_place(value: str, place: Column) -> Column:
-    return F.max(F.when(F.col("place") == place, F.col(value)))
+    Rows are counted per key and range of values, ranges of equal width between least and
+    greatest. Only the range that holds a place is put in order, a key and range at a
+    time, so a hot key is never sorted in one task; equal values are counted, not sorted.
+    Nulls take no part; keys without a value have no row.
+    """
+    rows = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__c"))
+    whole = rows.groupBy(*keys).agg(F.min(value).alias("__low"), F.max(value).alias("__high"), F.sum("__c").alias("n"))
+    width = (F.col("__high") - F.col("__low")).cast("double") / RANGES
+    part = F.when(width > 0, F.least(F.floor((F.col(value) - F.col("__low")).cast("double") / width), F.lit(RANGES - 1))).otherwise(F.lit(0))
+    placed = rows.join(whole, keys).withColumn("__range", part.cast("int"))
+    sums = placed.groupBy(*keys, "__range").agg(F.sum("__c").alias("__c"), F.first("n").alias("n"))
+    before = F.coalesce(F.sum("__c").over(Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranges = sums.withColumn("__before", before)
+    asked = F.array(*(F.struct(F.lit(name).alias("name"), F.greatest(place, F.lit(0)).cast("bigint").alias("place")) for name, place in places.items()))
+    inside = F.filter(asked, lambda p: (p["place"] >= F.col("__before")) & (p["place"] < F.col("__before") + F.col("__c")))
+    wanted = ranges.withColumn("__asked", inside).where(F.size("__asked") > 0).select(*keys, "__range", "__before", "__asked")
+    upto = F.sum("__c").over(Window.partitionBy(*keys, "__range").orderBy(value))
+    held = placed.drop("__low", "__high").join(wanted, [*keys, "__range"]).withColumn("__upto", upto + F.col("__before"))
+    hit = F.explode(F.filter("__asked", lambda p: (p["place"] < F.col("__upto")) & (p["place"] >= F.col("__upto") - F.col("__c"))))
+    found = held.select(*keys, "n", value, hit.alias("p"))
+    return found.groupBy(*keys).agg(F.first("n").alias("n"), *(F.max(F.when(F.col("p.name") == name, F.col(value))).alias(name) for name in places))
 
 
 def index_percentile(df: DataFrame, keys: list[str], value: str, q: float) -> DataFrame:
     """keys, percentile: the value at index min(n - 1, int(q * n)) of the sorted values."""
-    rows = ranked(df, keys, value)
     place = F.least(F.col("n") - 1, F.floor(F.col("n") * q))
-    return rows.groupBy(*keys).agg(at_place(value, place).alias("percentile"))
+    return values_at(df, keys, value, {"percentile": place}).drop("n")
 
 
 def fenced_bounds(df: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -45,14 +59,10 @@ def fenced_bounds(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     Quartiles are the values at n // 4 and 3 n // 4; fewer than four values, or none
     inside the fence, give the plain bounds.
     """
-    rows = ranked(df, keys, value)
-    inside = Window.partitionBy(*keys)
-    q1 = at_place(value, F.floor(F.col("n") / 4)).over(inside)
-    q3 = at_place(value, F.floor(F.col("n") * 3 / 4)).over(inside)
-    rows = rows.withColumns({"q1": q1, "q3": q3})
-    kept = (F.col("n") < 4) | F.col(value).between(
-        F.col("q1") - 1.5 * (F.col("q3") - F.col("q1")), F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))
-    )
+    quartiles = values_at(df, keys, value, {"q1": F.floor(F.col("n") / 4), "q3": F.floor(F.col("n") * 3 / 4)})
+    reach = 1.5 * (F.col("q3") - F.col("q1"))
+    kept = (F.col("n") < 4) | F.col(value).between(F.col("q1") - reach, F.col("q3") + reach)
+    rows = df.where(F.col(value).isNotNull()).select(*keys, value).distinct().join(quartiles, keys)
     return rows.groupBy(*keys).agg(
         F.coalesce(F.min(F.when(kept, F.col(value))), F.min(value)).alias("low"),
         F.coalesce(F.max(F.when(kept, F.col(value))), F.max(value)).alias("high"),

@@ -303,3 +303,25 @@ def test_plans(spark):
         plans.sweep_ids(dates_now, "id", 0.5, True, "merge")
     with pytest.raises(ValueError):
         plans.sweep_ids(dates_now, "id", 0.95, False, "keep_all")
+
+
+def test_values_at_against_sorted_lists(spark, monkeypatch):
+    from lumenfold.operators import robust
+
+    rng = random.Random(11)
+    rows = [(rng.choice("abc"), rng.choice([None, rng.gauss(0, 1) ** 5, float(rng.randrange(4))])) for _ in range(900)] + [("d", None), ("e", 7.0), ("f", float("nan"))]
+    frame = spark.createDataFrame(rows, "k string, v double")
+    lists = {k: sorted(v for q, v in rows if q == k and v is not None and v == v) for k in "abcde"}
+    for ranges in (1, 7, 256):
+        monkeypatch.setattr(robust, "RANGES", ranges)
+        for q in (0.0, 0.5, 0.9, 1.0):
+            want = {(k, v[min(len(v) - 1, int(q * len(v)))]) for k, v in lists.items() if v}
+            assert rows_of(robust.index_percentile(frame, ["k"], "v", q)) == want
+        bounds = {k: (low, high) for k, low, high in rows_of(robust.fenced_bounds(frame.where("not isnan(v)"), ["k"], "v"))}
+        for k, v in lists.items():
+            if not v:
+                assert k not in bounds
+                continue
+            q1, q3 = v[len(v) // 4], v[3 * len(v) // 4]
+            kept = [x for x in v if len(v) < 4 or q1 - 1.5 * (q3 - q1) <= x <= q3 + 1.5 * (q3 - q1)] or v
+            assert bounds[k] == (min(kept), max(kept))
