@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import haversine_km
+from ..session import Scratch
 
 
 def first_seen_mode(df: DataFrame, keys: list[str], value: str, order: list[str]) -> DataFrame:
@@ -17,19 +18,29 @@ def first_seen_mode(df: DataFrame, keys: list[str], value: str, order: list[str]
     return best.select(*keys, F.col(f"best.{value}").alias("mode"), (-F.col("best.col1")).alias("n"))
 
 
-#: Value ranges into which the rows of a key are counted before one is looked at in order.
+#: Rows of a key up to which it is put in order whole, and value ranges into which the rows are counted beyond that.
+HOT_ROWS = 500_000
 RANGES = 256
 
 
 def values_at(df: DataFrame, keys: list[str], value: str, places: dict[str, Column]) -> DataFrame:
     """keys, n and, by name, the value at each place (from 0, a column over n) of the sorted values.
 
-    Rows are counted per key and range of values, ranges of equal width between least and
-    greatest. Only the range that holds a place is put in order, a key and range at a
-    time, so a hot key is never sorted in one task; equal values are counted, not sorted.
-    Nulls take no part; keys without a value have no row.
+    Where a key has more than HOT_ROWS rows, rows are counted per key and range of values,
+    ranges of equal width between least and greatest. Only the range that holds a place is
+    then put in order, a key and range at a time, so a hot key is never sorted in one
+    task; equal values are counted, not sorted. Nulls and NaN take no part; keys without
+    a value have no row.
     """
-    rows = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__c"))
+    plain = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
+    if plain.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT_ROWS).isEmpty():
+        whole = Window.partitionBy(*keys)
+        numbered = plain.select(
+            *keys, value, F.count(F.lit(1)).over(whole).alias("n"), (F.row_number().over(whole.orderBy(value)) - 1).alias("__place")
+        )
+        picked = (F.max(F.when(F.col("__place") == F.greatest(place, F.lit(0)), F.col(value))).alias(name) for name, place in places.items())
+        return numbered.groupBy(*keys).agg(F.first("n").alias("n"), *picked)
+    rows = plain.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__c"))
     whole = rows.groupBy(*keys).agg(F.min(value).alias("__low"), F.max(value).alias("__high"), F.sum("__c").alias("n"))
     width = (F.col("__high") - F.col("__low")).cast("double") / RANGES
     part = F.when(width > 0, F.least(F.floor((F.col(value) - F.col("__low")).cast("double") / width), F.lit(RANGES - 1))).otherwise(F.lit(0))
@@ -74,6 +85,8 @@ def trip_summary(members: DataFrame, keys: list[str]) -> DataFrame:
 
     ``members``: keys, t (seconds), lat, lon; any of them may be null.
     """
+    # Read five times below, so it is worked out once.
+    members = Scratch(members.sparkSession, "trips").keep(members.select(*keys, "t", "lat", "lon"), "members")
     centre = members.where("lat is not null and lon is not null").groupBy(*keys).agg(
         F.median("lat").alias("mid_lat"), F.median("lon").alias("mid_lon")
     )

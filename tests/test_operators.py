@@ -312,8 +312,9 @@ def test_values_at_against_sorted_lists(spark, monkeypatch):
     rows = [(rng.choice("abc"), rng.choice([None, rng.gauss(0, 1) ** 5, float(rng.randrange(4))])) for _ in range(900)] + [("d", None), ("e", 7.0), ("f", float("nan"))]
     frame = spark.createDataFrame(rows, "k string, v double")
     lists = {k: sorted(v for q, v in rows if q == k and v is not None and v == v) for k in "abcde"}
-    for ranges in (1, 7, 256):
+    for ranges, hot in ((1, 10), (7, 10), (256, 10), (256, 10_000)):
         monkeypatch.setattr(robust, "RANGES", ranges)
+        monkeypatch.setattr(robust, "HOT_ROWS", hot)
         for q in (0.0, 0.5, 0.9, 1.0):
             want = {(k, v[min(len(v) - 1, int(q * len(v)))]) for k, v in lists.items() if v}
             assert rows_of(robust.index_percentile(frame, ["k"], "v", q)) == want
