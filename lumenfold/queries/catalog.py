@@ -1,4 +1,4 @@
 """Queries of the catalog's own operators, each with the same query in SQL."""
 
-from . import aggregates, changes, complete, further, joins, ordered, plans, scalars  # noqa: F401
+from . import aggregates, changes, complete, further, joins, ordered, plans, readers, scalars  # noqa: F401
 from .registry import QUERIES, SQL  # noqa: F401

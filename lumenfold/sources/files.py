@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: File kinds that count as media.
@@ -91,16 +91,37 @@ def track_points(texts: DataFrame, key: str = "path", body: str = "body") -> Dat
 
 
 def front_matter(texts: DataFrame, key: str = "path", body: str = "body") -> DataFrame:
-    """key, field, value of the top-level scalars and inline lists between the opening fences.
+    """key, field, value of the scalars, inline lists, nested maps and block lists between the opening fences.
 
-    A text without front matter has no row.
+    Fields of a nested map are named after their parent (``location.coords``); the items
+    of a block list come as one inline list. A text without front matter has no row.
+    Lines are put in order within their own text only.
     """
     block = F.regexp_extract(body, r"(?s)\A---[ \t]*\r?\n(.*?)\r?\n---[ \t]*(?:\r?\n|\z)", 1)
-    lines = texts.where(block != "").select(F.col(key).alias(key), F.explode(F.split(block, r"\r?\n")).alias("line"))
-    field = F.regexp_extract("line", r"^([A-Za-z_][\w-]*):\s*(.+?)\s*$", 1)
-    return lines.where(field != "").select(
-        key, field.alias("field"), F.regexp_replace(F.regexp_extract("line", r"^[^:]+:\s*(.+?)\s*$", 1), r"^[\"']|[\"']$", "").alias("value")
+    held = texts.select(F.col(key).alias(key), block.alias("b")).where("b <> ''")
+    lines = held.select(key, F.posexplode(F.split("b", r"\r?\n")).alias("n", "line"))
+
+    def part(pattern: str, group: int) -> Column:
+        return F.nullif(F.regexp_extract("line", pattern, group), F.lit(""))
+
+    top, nested, item = r"^([A-Za-z_][\w-]*):\s*(.*?)\s*$", r"^\s+([A-Za-z_][\w-]*):\s*(.+?)\s*$", r"^\s*-\s+(.+?)\s*$"
+    above = Window.partitionBy(key).orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
+    read = lines.select(
+        key,
+        "n",
+        F.last(part(top, 1), ignorenulls=True).over(above).alias("parent"),
+        part(nested, 1).alias("child"),
+        F.coalesce(part(top, 2), part(nested, 2), part(item, 1)).alias("value"),
+        part(item, 1).isNotNull().alias("listed"),
+    ).where("value is not null and parent is not null")
+    field = F.concat_ws(".", "parent", "child")
+    bare = F.regexp_replace("value", r"^[\"']|[\"']$", "")
+    grouped = read.groupBy(key, field.alias("field")).agg(
+        F.min(F.when(~F.col("listed"), bare)).alias("one"),
+        F.array_sort(F.collect_list(F.when(F.col("listed"), F.struct("n", bare.alias("v"))))).alias("items"),
     )
+    whole = F.concat(F.lit("["), F.array_join(F.transform("items", lambda x: x["v"]), ", "), F.lit("]"))
+    return grouped.select(key, "field", F.coalesce("one", whole).alias("value"))
 
 
 def preferred_notes(files: DataFrame) -> DataFrame:

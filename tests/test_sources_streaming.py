@@ -37,7 +37,7 @@ def test_gpx_and_notes(spark):
     assert len(points) == 1 and points[0]["lat"] == 1.5 and points[0]["at"].hour == 10
     note = "---\ntrip: 'Old Pier'\nlocation:\n  name: X\ntags: [A, B/C]\n---\n\n# Title\nnot: a field"
     fields = rows_of(files.front_matter(spark.createDataFrame([("a", note), ("b", "# none")], "path string, body string")))
-    assert fields == {("a", "trip", "Old Pier"), ("a", "tags", "[A, B/C]")}
+    assert fields == {("a", "trip", "Old Pier"), ("a", "location.name", "X"), ("a", "tags", "[A, B/C]")}
     notes = spark.createDataFrame([("/t/README.md",), ("/t/TRIP.md",), ("/u/README.md",), ("/u/x.md",)], "path string")
     assert rows_of(files.preferred_notes(notes)) == {("/t", "/t/TRIP.md"), ("/u", "/u/README.md")}
 
@@ -130,3 +130,17 @@ def test_windows_of_a_stream_equal_the_batch(spark, tmp_path, data_dir):
     query = jobs.window_counts(stream, "1 day").writeStream.format("memory").queryName("days").outputMode("complete").trigger(availableNow=True).start()
     query.awaitTermination()
     assert rows_of(spark.table("days"), "start", "event_type", "n") == rows_of(jobs.window_counts(events, "1 day"), "start", "event_type", "n")
+
+
+def test_front_matter_with_nested_and_listed_fields(spark):
+    note = "---\ntrip: 'A b'\nlocation:\n  name: X\n  coords: [1.5, -2]\ntags:\n  - One\n  - \"Two\"\nempty:\nlast: 1\n---\nbody: no\n"
+    frame = spark.createDataFrame([("a", note), ("b", "no fences"), ("c", None), ("d", "---\nx: 1\n")], "path string, body string")
+    assert rows_of(files.front_matter(frame)) == {
+        ("a", "trip", "A b"), ("a", "location.name", "X"), ("a", "location.coords", "[1.5, -2]"), ("a", "tags", "[One, Two]"), ("a", "last", "1")
+    }
+
+
+def test_server_reads_ask_for_bounds(spark):
+    for key, low, high in (("id", None, 5), ("id", 5, 5)):
+        with pytest.raises(ValueError):
+            tables.read_server(spark, "jdbc:x", "assets", key, low, high)
