@@ -173,4 +173,40 @@ SQL: dict[str, str] = {
         taken AS (SELECT unnest(accepted) AS n FROM (SELECT accepted FROM decided ORDER BY n DESC LIMIT 1))
         SELECT DISTINCT known_id, new_id FROM met WHERE old_n = 0 OR old_n IN (SELECT n FROM taken)
     """,
+    "p5_filled": """
+        WITH RECURSIVE m AS (
+            SELECT DISTINCT c.cluster_id AS g, a.id, a.taken_at, a.path, a.gps_lat, a.gps_lon, a.live_cid, a.burst_uuid,
+                   coalesce(a.exif_fields, 0)::BIGINT AS e, coalesce(a.width::BIGINT * a.height, -1) AS p, coalesce(a.bytes, -1) AS b,
+                   (lower(a.format) IN ('raw','heic','heif','dng','arw','cr2','cr3','nef','orf','raf','rw2'))::BIGINT AS f,
+                   CASE a.source WHEN 'originals' THEN 3 WHEN 'icloud' THEN 2 WHEN 'google' THEN 1 ELSE 0 END::BIGINT AS s,
+                   coalesce(floor(a.mtime)::BIGINT, -1) AS r,
+                   CASE a.taken_src WHEN 'exif' THEN 4 WHEN 'json' THEN 3 WHEN 'filename' THEN 2 WHEN 'mtime' THEN 1 ELSE 0 END AS d
+            FROM membership c JOIN asset a ON a.id = c.asset_id WHERE c.cluster_id IS NOT NULL
+        ),
+        beats AS (
+            SELECT x.g, x.id AS winner, y.id AS loser FROM m x JOIN m y ON x.g = y.g
+            WHERE x.e >= y.e AND x.p >= y.p AND x.b >= y.b AND x.f >= y.f AND x.s >= y.s AND x.r >= y.r
+              AND (x.e > y.e OR x.p > y.p OR x.b > y.b OR x.f > y.f OR x.s > y.s OR x.r > y.r)
+        ),
+        chain AS (
+            SELECT g, id, 1 AS layer FROM m
+            UNION
+            SELECT b.g, b.loser, c.layer + 1 FROM chain c JOIN beats b ON b.g = c.g AND b.winner = c.id
+        ),
+        lay AS (SELECT g, id, max(layer) AS layer FROM chain GROUP BY g, id),
+        o AS (
+            SELECT m.*, row_number() OVER (PARTITION BY m.g ORDER BY layer, e DESC, p DESC, b DESC, f DESC, s DESC, r DESC, m.id) AS n
+            FROM m JOIN lay ON lay.g = m.g AND lay.id = m.id
+        ),
+        filled AS (
+            SELECT g, arg_min(id, n) AS keep_asset_id, arg_min(path, n) FILTER (path IS NOT NULL) AS path, arg_min(gps_lat, n) FILTER (gps_lat IS NOT NULL) AS gps_lat,
+                   arg_min(gps_lon, n) FILTER (gps_lon IS NOT NULL) AS gps_lon, arg_min(live_cid, n) FILTER (live_cid IS NOT NULL) AS live_cid,
+                   arg_min(burst_uuid, n) FILTER (burst_uuid IS NOT NULL) AS burst_uuid FROM o GROUP BY g
+        ),
+        dated AS (
+            SELECT o.g, o.id, row_number() OVER (PARTITION BY o.g ORDER BY o.d DESC, (o.n = 1) DESC, o.id) AS k FROM o WHERE taken_at IS NOT NULL
+        )
+        SELECT c.id AS cluster_id, f.keep_asset_id, d.id AS date_asset_id, f.path, f.gps_lat, f.gps_lon, f.live_cid, f.burst_uuid
+        FROM (SELECT DISTINCT id FROM dedup_cluster WHERE id IS NOT NULL) c LEFT JOIN filled f ON f.g = c.id LEFT JOIN dated d ON d.g = c.id AND d.k = 1
+    """,
 }
