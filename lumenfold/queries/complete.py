@@ -11,6 +11,7 @@ from ..operators.components import components
 from ..session import table
 from ..sources.files import sibling_telemetry
 from . import joins, ordered  # noqa: F401
+from .problems import SQL as PROBLEM_SQL
 from .registry import SQL, ledger, members, pings, query
 
 _KM = """2 * 6371.0 * asin(sqrt(least(1.0, pow(sin(radians({b}.lat - {a}.lat) / 2), 2)
@@ -609,3 +610,17 @@ def positive_faces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return faces.select("l_orderkey", "l_linenumber", box.alias("b")).where("b is not null").select(
         "l_orderkey", "l_linenumber", F.round("b.x1", 6).alias("x1"), F.round("b.x2", 6).alias("x2")
     )
+
+
+def _kinds_sql() -> str:
+    """The SQL of instants, for the first text of each candidate only, with its kind."""
+    whole = PROBLEM_SQL["p4_found"]
+    before, rest = whole.split(" own AS (", 1)
+    after = "names AS (" + rest.split("names AS (", 1)[1]
+    steps, last = after.rsplit("SELECT DISTINCT candidate_id, utc_second FROM (", 1)
+    own = " own AS (SELECT c.candidate_id, c.tz_name, a.secs, a.fixed FROM c JOIN q a ON a.t = c.date_time_original),\n        "
+    last = last.replace("SELECT candidate_id, CASE WHEN fixed", "SELECT candidate_id, CASE WHEN fixed THEN 'utc' ELSE 'local' END AS kind, CASE WHEN fixed", 1)
+    return before + own + steps + "SELECT DISTINCT candidate_id, kind, utc_second AS instant FROM (" + last
+
+
+SQL["capture_kinds"] = _kinds_sql()
