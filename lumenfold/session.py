@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 _OWN_DIRS: dict[str, str] = {}
 _OPEN: dict[str, list] = {}
 
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 @atexit.register
 def _drop_own_dirs() -> None:
@@ -65,11 +67,14 @@ class Scratch:
 
     ``keep`` writes a DataFrame once and returns a reader of the written table, so
     that a lost executor costs a re-read, never a recomputation of the loop.
-    ``drop`` deletes a table that nothing needs any more.
+    ``drop`` deletes a table that nothing needs any more. ``free_shuffles``: what
+    writing a table shuffled is removed once the table is there, not when the driver
+    happens to collect its garbage (Spark 4.1 or later).
     """
 
-    def __init__(self, spark: SparkSession, label: str):
+    def __init__(self, spark: SparkSession, label: str, free_shuffles: bool = False):
         self.spark = spark
+        self.free_shuffles = free_shuffles
         self.root = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}"
         _OPEN.setdefault(spark.sparkContext.applicationId, []).append(self)
         self._count = 0
@@ -81,7 +86,14 @@ class Scratch:
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         path = self.path(name)
-        df.write.parquet(path)
+        before = self.spark.conf.get(FREE_SHUFFLES, None)
+        if self.free_shuffles:
+            self.spark.conf.set(FREE_SHUFFLES, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            if self.free_shuffles:
+                self.spark.conf.unset(FREE_SHUFFLES) if before is None else self.spark.conf.set(FREE_SHUFFLES, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         self._paths[id(out)] = path
         return out

@@ -1,3 +1,5 @@
+from pathlib import Path
+
 import numpy as np
 import pytest
 from conftest import rows_of
@@ -94,3 +96,53 @@ def test_hot_and_cold_buckets_give_the_same(spark, monkeypatch):
     for hot_bucket in (30, 40, 50):
         monkeypatch.setattr(similar, "HOT_BUCKET", hot_bucket)
         assert found() == cold
+
+
+def shuffled(spark):
+    """Bytes of shuffle files that are on disk now."""
+    folders = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    return sum(f.stat().st_size for folder in folders for f in Path(folder).rglob("shuffle_*.data"))
+
+
+def test_shuffles_do_not_pile_up(spark):
+    vectors = clusters(6000, 64, 5)
+    frame = spark.createDataFrame([(n, "m", v.tolist()) for n, v in enumerate(vectors)], SCHEMA)
+    before = shuffled(spark)
+    found = similar_pairs(frame, "id", "model", "vec")
+    assert shuffled(spark) - before < 0.5 * sum(v.nbytes for v in vectors)
+    assert found.count() > 6000
+
+
+def test_passes_and_parts_change_no_row(spark, monkeypatch):
+    rows = [(n, "m", v.tolist()) for n, v in enumerate(clusters(900, 24, 6, spread=0.12))]
+    rows += [(n + 5000, "other", v.tolist()) for n, v in enumerate(clusters(90, 8, 7))]
+    frame = spark.createDataFrame(rows, SCHEMA)
+
+    def found():
+        return rows_of(most_similar(frame, "id", "model", "vec", min_cosine=0.8), "grp", "id", "other", "rank")
+
+    whole = found()
+    for name, value in (("PART_BYTES", 4_000), ("PASS_BYTES", 1), ("PASS_SHARE", 0.4), ("CODE_BYTES", 5_000), ("PAIRS_AT_ONCE", 7)):
+        monkeypatch.setattr(similar, name, value)
+    assert found() == whole
+    assert len(whole) > 3000
+
+
+def test_meetings_are_all_rows_up_to_one_bit_apart():
+    rng = np.random.default_rng(8)
+    sub, bits, cut = rng.integers(0, 32, 60), 5, 2
+    want = {(a, b) for a in range(60) for b in range(a + 1, 60) if int(sub[a] ^ sub[b]).bit_count() <= 1}
+    counts = np.bincount(sub, minlength=32)
+    for hot in (1, 2, 100):
+        got = []
+        for part in range(1 << cut):
+            home = [(u, -1, n) for n, u in enumerate(sub) if u >> (bits - cut) == part]
+            sent = [(u | 1 << b, b, n) for n, u in enumerate(sub) for b in range(bits - cut, bits) if not u >> b & 1]
+            own = home + [x for x in sent if x[0] >> (bits - cut) == part]
+            rows = np.zeros(len(own), similar._row_type(1))
+            for at, (u, flip, n) in enumerate(sorted(own, key=lambda x: (x[1], x[0]))):
+                rows[at]["sub"], rows[at]["flip"], rows[at]["rep"] = u, flip, n
+            for one, two in similar._meetings(rows, bits - cut, hot):
+                got += [(min(a, b), max(a, b)) for a, b in zip(rows["rep"][one].tolist(), rows["rep"][two].tolist())]
+        assert len(got) == len(set(got))
+        assert set(got) == {(a, b) for a, b in want if counts[sub[a]] <= hot or counts[sub[b]] <= hot}
